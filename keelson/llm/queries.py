@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines
+from . import bpe, lines, pieces
 from .common import read
 
 
@@ -14,4 +14,23 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup_lines(read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_line_dedup": op2_line_dedup}
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file; it is installed on every machine, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.encode_table(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), keep_ids=False))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.count_table(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
+    "op6_bpe_automaton": op6_bpe_automaton,
+    "op8_token_counts": op8_token_counts,
+}
