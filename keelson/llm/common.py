@@ -3,8 +3,10 @@ packed integer columns, and exact global prefix sums over an ordered table."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +48,16 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it, unless it is installed there."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+
+
 def own_names(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names, whatever else the table holds."""
+    importable(df.sparkSession)
     return df.select(*(df[f"`{old}`"].alias(new) for new, old in columns.items()))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, pieces
+from . import bpe, lines, mixing, pieces, rules, shards
 from .common import read
 
 
@@ -29,8 +29,23 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.count_table(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")))
 
 
+def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digest(shards.shard(read(spark, sf_dir, "documents")))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.digest(rules.quality_rules(read(spark, sf_dir, "documents")))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op5_byte_shards": op5_byte_shards,
     "op6_bpe_automaton": op6_bpe_automaton,
     "op8_token_counts": op8_token_counts,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_source_mix": op10_source_mix,
 }
