@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, mixing, pieces, rules, shards
+from . import bpe, lines, mixing, pieces, rules, shards, substrings
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup_lines(read(spark, sf_dir, "documents")))
 
 
+def op3_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.dedup_substrings(read(spark, sf_dir, "documents")))
+
+
 def tokenizer(name: str) -> str:
     """The place of a public tokenizer's file; it is installed on every machine, never copied."""
     import public_tokenizers
@@ -43,6 +47,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_cover_dedup": op3_cover_dedup,
     "op5_byte_shards": op5_byte_shards,
     "op6_bpe_automaton": op6_bpe_automaton,
     "op8_token_counts": op8_token_counts,
