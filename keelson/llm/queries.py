@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, mixing, pieces, rules, shards, substrings
+from . import bpe, gam, lines, mixing, pieces, rules, shards, substrings
 from .common import read
 
 
@@ -29,6 +29,11 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_table(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), keep_ids=False))
 
 
+def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return gam.digest(gam.score(documents, gam.learn(documents, read(spark, sf_dir, "labels"))))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.count_table(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_cover_dedup": op3_cover_dedup,
     "op5_byte_shards": op5_byte_shards,
     "op6_bpe_automaton": op6_bpe_automaton,
+    "op7_quality_gam": op7_quality_gam,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
