@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gam, lines, mixing, pieces, rules, shards, substrings
+from . import bpe, gam, lines, minhash, mixing, pieces, rules, shards, substrings
 from .common import read
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(minhash.near_classes(read(spark, sf_dir, "documents")))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup_lines(read(spark, sf_dir, "documents")))
 
@@ -51,6 +55,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_cover_dedup": op3_cover_dedup,
     "op5_byte_shards": op5_byte_shards,
