@@ -17,6 +17,7 @@ import hashlib
 import json
 from bisect import bisect_right
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_names
+from .common import Memory, own_names
 
-#: Encoded words that a worker remembers at most; then it starts anew.
-MEMORY = 300_000
+#: Encoded parts, and encoded words, that a worker remembers at most.
+MEMORY = 800_000
 #: Fixed: the byte-level pre-token pattern that goes with the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PRE = regex.compile(PATTERN)
@@ -172,27 +173,33 @@ class Automaton:
         return [*([first] if first else []), *map(" ".__add__, rest)]
 
 
-class _Memory(dict):
-    """part of a text -> its ids as little-endian 32-bit integers."""
+class _Words(Memory):
+    """pre-token -> its ids as little-endian 32-bit integers."""
 
     def __init__(self, automaton: Automaton) -> None:
-        super().__init__()
+        super().__init__(MEMORY)
         self.automaton = automaton
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        ids = [t for w in _PRE.findall(part) for t in self.automaton.word(w.encode("utf-8", "surrogatepass"))]
-        out = np.array(ids, "<u4").tobytes()
-        if len(part) <= 256:
-            self[part] = out
-        return out
+    def make(self, key: str) -> bytes:
+        ids = self.automaton.word(key.encode("utf-8", "surrogatepass"))
+        return pack(f"<{len(ids)}I", *ids)
+
+
+class _Parts(Memory):
+    """part of a text -> the same for its pre-tokens."""
+
+    def __init__(self, automaton: Automaton) -> None:
+        super().__init__(MEMORY)
+        self.words = _Words(automaton)
+
+    def make(self, key: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _PRE.findall(key)))
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> tuple[Automaton, _Memory]:
+def load(path: str) -> tuple[Automaton, _Parts]:
     a = Automaton(path)
-    return a, _Memory(a)
+    return a, _Parts(a)
 
 
 def encode(text: str, path: str) -> bytes:

@@ -155,6 +155,29 @@ def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]
         yield begin, len(sizes)
 
 
+class Memory(dict):
+    """Remembers at least the last `most` / 2 different keys' values and what is asked for again;
+    subclasses say in `make` how a value is made."""
+
+    def __init__(self, most: int, longest: int = 256) -> None:
+        super().__init__()
+        self.most, self.longest, self.old = most // 2, longest, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+    def make(self, key):
+        raise NotImplementedError
+
+
 def packed(*columns: np.ndarray) -> bytes:
     """Columns of equal length, one after another, as bytes."""
     return b"".join(np.ascontiguousarray(x).tobytes() for x in columns)
