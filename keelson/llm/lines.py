@@ -61,6 +61,15 @@ def _half(name: str):
     return F.unhex(F.lpad(F.hex(name), 16, "0"))
 
 
+def _hits(texts: DataFrame, min_docs: int) -> DataFrame:
+    """of (an id), drop: the hashes of its lines that stand in `min_docs` documents or more."""
+    kind = texts.schema["id"].dataType.simpleString()
+    keys = texts.mapInArrow(_hashed, f"id {kind}, high array<long>, low array<long>").select("id", F.explode(F.arrays_zip("high", "low")).alias("k")).select("id", "k.high", "k.low")
+    # A row's keys are distinct already, so counting rows counts documents.
+    frequent = keys.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("high", "low")
+    return keys.join(frequent, ["high", "low"]).groupBy(F.col("id").alias("of")).agg(F.collect_set(F.concat(_half("high"), _half("low"))).alias("drop"))
+
+
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """id, n_lines, n_dropped, kept (binary UTF-8): one row per row of df.
 
@@ -69,11 +78,34 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     is null, count one by one. An empty table gives an empty result; other columns are ignored."""
     texts = own_names(df, id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary"))
     kind = texts.schema["id"].dataType.simpleString()
-    keys = texts.mapInArrow(_hashed, f"id {kind}, high array<long>, low array<long>").select("id", F.explode(F.arrays_zip("high", "low")).alias("k")).select("id", "k.high", "k.low")
-    # A row's keys are distinct already, so counting rows counts documents.
-    frequent = keys.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("high", "low")
-    hits = keys.join(frequent, ["high", "low"]).groupBy("id").agg(F.collect_set(F.concat(_half("high"), _half("low"))).alias("drop"))
-    return texts.join(hits.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "drop").mapInArrow(_kept, f"id {kind}, n_lines long, n_dropped long, kept binary")
+    return texts.join(_hits(texts, min_docs), F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "drop").mapInArrow(_kept, f"id {kind}, n_lines long, n_dropped long, kept binary")
+
+
+def dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """df with the kept lines for text: all its rows (one that loses every line has an empty text)
+    and all its columns. A null text stays null."""
+    texts = own_names(df, id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary"))
+    hits = _hits(texts, min_docs).withColumnsRenamed({"of": "__of", "drop": "__drop"})
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts, drops = batch.column(at).to_pylist(), batch.column(len(df_columns)).to_pylist()
+            out = []
+            for text, drop in zip(texts, drops, strict=True):
+                if not drop or text is None:
+                    out.append(text)
+                    continue
+                gone = set(drop)
+                parts = text.split("\n")
+                kept = [x for x, k in zip(parts, line_keys(text.encode()), strict=True) if len(k) < MIN_POINTS or xxhash.xxh3_128_digest(k) not in gone]
+                out.append("\n".join(kept))
+            columns = list(batch.columns[: len(df_columns)])
+            columns[at] = pa.array(out, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=df_columns)
+
+    df_columns = df.columns
+    return df.join(hits, df[f"`{id_col}`"].eqNullSafe(hits["__of"]), "left").select(*(df[f"`{c}`"] for c in df_columns), "__drop").mapInArrow(run, df.schema)
 
 
 def digest(kept: DataFrame) -> DataFrame:
