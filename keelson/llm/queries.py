@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gam, lines, minhash, mixing, pieces, rules, shards, substrings
+from . import bpe, gam, lines, media, minhash, mixing, pieces, rules, shards, substrings
 from .common import read
 
 
@@ -42,6 +42,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.count_table(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")))
 
 
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.copy_classes(media.conversation_media(read(spark, sf_dir, "conversations")), "media_id", "image"))
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(shards.shard(read(spark, sf_dir, "documents")))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_cover_dedup": op3_cover_dedup,
+    "op4_image_copies": op4_image_copies,
     "op5_byte_shards": op5_byte_shards,
     "op6_bpe_automaton": op6_bpe_automaton,
     "op7_quality_gam": op7_quality_gam,
