@@ -75,7 +75,8 @@ def schedule(df: DataFrame, plan: Plan) -> DataFrame:
     block's start). df only lends its session.
 
     Ranks come from counts per chunk of slots: a source of most slots is no task of its own. Visits
-    that a source is short of when the points end are appended, source by source."""
+    that a source is short of when the points end are appended, source by source; slots that a
+    source has too many of stay free."""
     spark, total = df.sparkSession, sum(plan.visits)
     edges = np.array([(c << 64) // max(total, 1) for c in np.cumsum(np.array(plan.visits, object))][:-1], np.uint64)
 

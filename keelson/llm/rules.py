@@ -130,7 +130,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counted = measured.groupBy(*names).count().limit(3 ** len(names)).collect()  # all patterns there can be
     share, table = estimate({tuple(r[x] for x in names): r["count"] for r in counted})
     odds = F.lit(math.log(share / (1 - share)))
-    for name, (g, b) in zip(names, table, strict=True):
+    for name, (g, b) in zip(names, table, strict=bool(table)):
         step = {v: math.log(g[v] / b[v]) for v in (1, -1, 0)}
         odds = odds + F.when(F.col(name) == 1, step[1]).when(F.col(name) == -1, step[-1]).otherwise(step[0])
     judged = measured.withColumn("posterior", 1 / (1 + F.exp(-odds)))

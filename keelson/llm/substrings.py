@@ -26,6 +26,9 @@ PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 #: Entries that a task compares at a time; a longer document is a chunk of its own.
 CHUNK = 1 << 21
+#: Bytes of each hash that are sent, for anchors and for windows. Anchors are only candidates, and
+#: their bin tells 16 bits more; 96 bits tell the windows of 100 TB apart.
+HASH_BYTES = {1: (6,), 2: (8, 4)}
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _ROW = "bin int, mark boolean, docs binary, counts binary, pos binary, hash binary"
 
@@ -60,18 +63,45 @@ class _Entries:
 
 
 def _pack(ids, sums, doc, pos, *hashes) -> tuple[bytes, bytes, bytes, bytes]:
+    """Entries by document: ids, sums and 65,536s of positions; counts; position steps; hashes cut
+    to HASH_BYTES. High bytes stand apart from low ones, as most are zero."""
     order = np.lexsort((pos, doc))
     doc, pos = doc[order], pos[order]
     at = _runs(doc, pos >> 16)
     first = at[:-1]
     docs = np.stack([ids[doc[first]], sums[doc[first]], pos[first] >> 16]) if len(first) else np.zeros((3, 0), np.int64)
-    return docs.tobytes(), packed(np.diff(at).astype(np.uint32)), packed((pos & 0xFFFF).astype(np.uint16)), packed(*(h[order] for h in hashes))
+    low = (pos & 0xFFFF).astype(np.uint16)
+    step = low.copy()
+    step[1:] -= low[:-1]
+    step[first] = low[first]
+    halves = step.view(np.uint8).reshape(-1, 2).T
+    return docs.tobytes(), packed(np.diff(at).astype(np.uint32)), np.ascontiguousarray(halves).tobytes(), packed(*(_cut(h[order], n) for h, n in zip(hashes, HASH_BYTES[len(hashes)], strict=True)) if hashes else ())
+
+
+def _cut(h: np.ndarray, n: int) -> np.ndarray:
+    return h.view(np.uint8).reshape(-1, 8)[:, :n]
+
+
+def _hashes(data: bytes, width: int) -> np.ndarray:
+    sizes = HASH_BYTES[width]
+    n, at, out = len(data) // sum(sizes), 0, []
+    for size in sizes:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :size] = np.frombuffer(data, np.uint8, n * size, at).reshape(n, size)
+        out.append(wide.view(np.uint64)[:, 0])
+        at += n * size
+    return np.stack(out)
 
 
 def _unpack(docs: bytes, counts: bytes, pos: bytes):
     ids, sums, base = np.frombuffer(docs, np.int64).reshape(3, -1)
-    n = np.frombuffer(counts, np.uint32)
-    return np.repeat(ids, n), np.repeat(sums, n), np.repeat(base << 16, n) + np.frombuffer(pos, np.uint16)
+    n = np.frombuffer(counts, np.uint32).astype(np.int64)
+    step = np.ascontiguousarray(np.frombuffer(pos, np.uint8).reshape(2, -1).T).view(np.uint16)[:, 0].astype(np.int64)
+    # Steps within a document are never negative: positions ascend.
+    total = np.cumsum(step)
+    first = np.cumsum(n) - n
+    low = total - np.repeat(total[first] - step[first], n)
+    return np.repeat(ids, n), np.repeat(sums, n), np.repeat(base << 16, n) + low
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -102,7 +132,7 @@ def _decide(entries: _Entries, bins: int, by_rank: bool):
         sent[marked] = False
         sent[at[:-1]] = True  # one entry of a marked hash tells the other chunks
     if marked.any():
-        yield (int(mix_bin(doc[marked][:1] + ids[:1], bins)[0]), True, *_pack(ids, sums, doc[marked], pos[marked])[:3], b"")
+        yield (int(hashes[0][0] % np.uint64(bins)), True, *_pack(ids, sums, doc[marked], pos[marked])[:3], b"")
     to = mix_bin(hashes[0][sent], bins)
     cut = np.argsort(to, kind="stable")
     ends = np.searchsorted(to[cut], np.arange(bins + 1))
@@ -114,7 +144,7 @@ def _decide(entries: _Entries, bins: int, by_rank: bool):
 
 
 def mix_bin(x: np.ndarray, bins: int) -> np.ndarray:
-    return ((x.astype(np.uint64) >> np.uint64(17)) % np.uint64(bins)).astype(np.int32)
+    return ((x.astype(np.uint64) >> np.uint64(48)) % np.uint64(bins)).astype(np.int32)
 
 
 def _texts(batches):
@@ -181,12 +211,12 @@ def _windows(bins: int):
     return run
 
 
-def _positions(got: list[dict]) -> np.ndarray:
-    return np.concatenate([np.frombuffer(g["pos"], np.uint16).astype(np.int64) + (g["base"] << 16) for g in got])
+def _positions(got: bytes) -> np.ndarray:
+    return np.frombuffer(got, np.uint32).astype(np.int64)
 
 
-def _met(width: int, by_rank: bool):
-    """All entries of a bin: marks by document."""
+def _met(width: int, by_rank: bool, bins: int):
+    """All entries of a bin: marks, packed by bin of the document."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, sums, pos, hashes = [], [], [], []
@@ -199,7 +229,7 @@ def _met(width: int, by_rank: bool):
             ids.append(x[0])
             sums.append(x[1])
             pos.append(x[2])
-            hashes.append(np.frombuffer(r["hash"], np.uint64).reshape(width, -1))
+            hashes.append(_hashes(r["hash"], width))
         if ids:
             ids, sums, pos = map(np.concatenate, (ids, sums, pos))
             hashes = np.concatenate(hashes, axis=1)
@@ -213,24 +243,38 @@ def _met(width: int, by_rank: bool):
             yes = ids > low if by_rank else low != high
             marks.append((ids[yes], sums[yes], pos[yes]))
         if not marks or not sum(len(m[0]) for m in marks):
-            return pa.Table.from_pylist([], schema=_MARKS)
+            return pa.Table.from_pylist([], schema=_PACKED)
         ids, sums, pos = (np.concatenate([m[i] for m in marks]) for i in range(3))
-        order = np.lexsort((pos, sums, ids))
-        ids, sums, pos = ids[order], sums[order], pos[order]
-        at = _runs(ids, sums, pos >> 16)
-        first = at[:-1]
-        low = (pos & 0xFFFF).astype(np.uint16)
-        return pa.table([pa.array(ids[first]), pa.array(sums[first]), pa.array(pos[first] >> 16), pa.array([low[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], schema=_MARKS)
+        to = (sums.astype(np.uint64) >> np.uint64(20)) % np.uint64(bins)
+        order = np.lexsort((sums, ids, to))
+        ids, sums, pos, to = ids[order], sums[order], pos[order], to[order]
+        at = _runs(to)
+        same = _runs(to, ids, sums)
+        doc = np.repeat(same[:-1], np.diff(same))  # each document by the place of its first mark
+        rows = [(int(to[a]), *_pack(ids, sums, doc[a:b], pos[a:b])[:3]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_PACKED.types)], schema=_PACKED)
 
     return run
 
 
-_MARKS = pa.schema([("id", pa.int64()), ("sum", pa.int64()), ("base", pa.int64()), ("pos", pa.binary())])
+_PACKED = pa.schema([("home", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("pos", pa.binary())])
+_MARKS = pa.schema([("id", pa.int64()), ("sum", pa.int64()), ("marks", pa.binary())])
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """One row per document: its marked positions, ascending."""
+    parts = [_unpack(r["docs"], r["counts"], r["pos"]) for r in table.to_pylist()]
+    ids, sums, pos = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((pos, sums, ids))
+    ids, sums, pos = ids[order], sums[order], pos[order].astype(np.uint32)
+    at = _runs(ids, sums)
+    first = at[:-1]
+    return pa.Table.from_arrays([pa.array(ids[first]), pa.array(sums[first]), pa.array([pos[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], schema=_MARKS)
 
 
-def _marked(packed_rows: DataFrame, width: int, by_rank: bool) -> DataFrame:
-    met = packed_rows.groupBy("bin").applyInArrow(_met(width, by_rank), "id long, sum long, base long, pos binary")
-    return met.groupBy("id", "sum").agg(F.collect_list(F.struct("base", "pos")).alias("marks"))
+def _marked(packed_rows: DataFrame, width: int, by_rank: bool, bins: int) -> DataFrame:
+    met = packed_rows.groupBy("bin").applyInArrow(_met(width, by_rank, bins), "home int, docs binary, counts binary, pos binary")
+    return met.groupBy("home").applyInArrow(_by_document, "id long, sum long, marks binary")
 
 
 def _reassembled(batches):
@@ -265,13 +309,13 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     bins = 2 * parts(df)
     slim = texts.select("id", "sum", "text")
-    shared = _marked(slim.mapInArrow(_anchors(bins), _ROW), 1, False)
+    shared = _marked(slim.mapInArrow(_anchors(bins), _ROW), 1, False, bins)
 
     def meet(marks: DataFrame) -> DataFrame:
         marks = marks.withColumnsRenamed({"id": "mid", "sum": "msum"})
         return texts.join(marks, (F.col("id") == F.col("mid")) & (F.col("sum") == F.col("msum")), "left").select("id", "sum", "text", "marks", "own")
 
-    later = _marked(meet(shared).mapInArrow(_windows(bins), _ROW), 2, True)
+    later = _marked(meet(shared).mapInArrow(_windows(bins), _ROW), 2, True, bins)
     return meet(later).mapInArrow(_reassembled, "id long, n_words long, n_removed long, kept binary")
 
 
