@@ -1,16 +1,19 @@
 """Continuous execution: one micro-batch after another, results per instant.
 
 Leaves arrive as streams of rows with `_TS`. Instants are closed by a watermark without delay: a
-batch that brings instant t closes all before t, and rows below a closed instant are dropped, as
-late rows are in a batch run. What a query needs of the past is kept as tables in the checkpoint
-folder: the rows that a window may still show (for ever only where a window is unbounded, or for a
-table, whose log is the state). Each batch evaluates the same plan as a batch run over the instants
-that it closed, so any query of the language runs continuously, with global BEST and TOP(k) too."""
+batch that brings instant t closes all before t, and rows of a closed instant are dropped, as late
+rows are in a batch run. Rows are kept in the state folder, by batch and instant, so a batch adds
+files and reads only the instants that a window may still show (all of them only where a window is
+unbounded, and for a table, whose log is the state). Each batch evaluates the plan of a batch run
+over the instants that it closes, so any query of the language runs continuously, with BEST and
+TOP(k) over a whole instant too. What was closed is written down after each batch: a restart goes on
+from there, and at worst hands the sink a range of instants again."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,39 +59,47 @@ class Continuous:
         self.spark, self.tree, self.name, self.kind = spark, parse_query(text), name.upper(), kind
         self.attributes, self.leaves, self.state, self.sink = [a.upper() for a in attributes], dict(leaves), state, sink
         self.back = _reach(self.tree).get(self.name)
-        self.closed, self.kept = -1, None  # the last closed instant; the folder of the kept rows
+        #: The last batch, the last closed instant, and the largest instant seen.
+        self.number, self.closed, self.top = self._recovered()
+
+    def _recovered(self) -> tuple[int, int, int]:
+        try:
+            rows = self.spark.read.parquet(f"{self.state}/closed").orderBy(F.desc("number")).limit(1).collect()
+        except AnalysisException:  # nothing was written yet
+            return -1, -1, -1
+        return (rows[0]["number"], rows[0]["closed"], rows[0]["top"]) if rows else (-1, -1, -1)
 
     def batch(self, rows: DataFrame, number: int) -> None:
-        """For foreachBatch. A batch that is run again writes the same folder again."""
+        """For foreachBatch. A batch that comes again is ignored, or overwrites its own rows."""
+        if number <= self.number:
+            return
         rows = rows.filter(F.col("_TS") > self.closed)
         if "_ORD" not in rows.columns:
             rows = rows.withColumn("_ORD", F.monotonically_increasing_id() + F.lit(number << 48))
-        known = rows if self.kept is None else self.spark.read.parquet(self.kept).unionByName(rows)
-        folder = f"{self.state}/{number}"
-        known.write.mode("overwrite").parquet(folder)
-        known = self.spark.read.parquet(folder)
-        top = known.agg(F.max("_TS")).first()[0]
-        if top is None:
-            return
-        if top - 1 > self.closed:
-            self._close(known, int(top) - 1)
-        self.kept = folder
-        if self.back is not None and self.kind == "STREAM":
-            slim = f"{self.state}/{number}-kept"
-            known.filter(F.col("_TS") > self.closed - self.back).write.mode("overwrite").parquet(slim)
-            self.kept = slim
+        rows = rows.persist()
+        top = rows.agg(F.max("_TS")).first()[0]
+        if top is not None:
+            rows.write.mode("overwrite").partitionBy("_TS").parquet(f"{self.state}/rows/batch={number}")
+            self.top = max(self.top, int(top))
+            if self.top - 1 > self.closed:
+                self._close(self.top - 1)
+        rows.unpersist()
+        self.number = number
+        self.spark.createDataFrame([(number, self.closed, self.top)], "number long, closed long, top long").coalesce(1).write.mode("overwrite").parquet(f"{self.state}/closed/batch={number}")
 
     def finish(self) -> None:
         """Closes the last instant that rows came for."""
-        if self.kept is not None:
-            known = self.spark.read.parquet(self.kept)
-            top = known.agg(F.max("_TS")).first()[0]
-            if top is not None and top > self.closed:
-                self._close(known, int(top))
-
-    def _close(self, known: DataFrame, last: int) -> None:
-        rows = known.filter(F.col("_TS") <= last)
-        held = rows if self.kind == "STREAM" else windows.changelog(rows, self.attributes)
+        if self.top > self.closed:
+            self._close(self.top)
+
+    def _close(self, last: int) -> None:
+        known = self.spark.read.parquet(f"{self.state}/rows").withColumn("_TS", F.col("_TS").cast("long"))
+        known = known.filter(F.col("_TS") <= last)
+        if self.kind == "STREAM" and self.back is not None:
+            known = known.filter(F.col("_TS") > self.closed - self.back)
+        names = ["_TS", *(["_FL"] if self.kind == "TABLE" else []), *self.attributes, "_ORD"]
+        known = known.select(*(F.col(f"`{n}`") for n in names))
+        held = known if self.kind == "STREAM" else windows.changelog(known, self.attributes)
         leaf = Leaf(self.name, self.kind, self.attributes, held)
         result, _ = Planner({**self.leaves, self.name: leaf}, last).plan(self.tree)
         first, self.closed = self.closed + 1, last

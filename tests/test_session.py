@@ -85,11 +85,14 @@ def test_continuous_equals_batch(spark, tmp_path, text):
         df.filter(df["_TS"].isin(part)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         del k
     got = []
-    run = Continuous(spark, text, "s", "STREAM", ["a", "b"], {}, str(tmp_path / "state"), lambda out, first, last: got.extend(map(tuple, out.collect())))
+    again = lambda: Continuous(spark, text, "s", "STREAM", ["a", "b"], {}, str(tmp_path / "state"), lambda out, first, last: got.extend(map(tuple, out.collect())))
+    run = again()
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = run.start(stream, str(tmp_path / "cp"))
     q.processAllAvailable()
     q.stop()
+    run = again()  # as after a restart
+    assert (run.closed, run.top) == (7, 8)
     run.finish()
     s = Session(spark, 8)
     s.register_stream("s", df, ["A", "B"], order="_ORD")
