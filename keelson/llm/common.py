@@ -3,6 +3,7 @@ packed integer columns, and exact global prefix sums over an ordered table."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -44,6 +45,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffles and checkpoints that nothing refers to any more. It does so when
+    the driver collects garbage, and a loop of small jobs may fill disks long before that."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, release
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,3 +31,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == mark:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("class")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("class"))).distinct()
         mark = now
+        release(edges.sparkSession)

@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, mix64, own_names, packed, steps, text_buffer, unpacked, window_hashes
+from .common import Words, checkpointed, mix64, own_names, packed, release, steps, text_buffer, unpacked, window_hashes
 from .components import components
 
 SHINGLE = 5
 LIKE = 0.8
 BANDS, ROWS = 14, 3
 #: Pairs whose samples agree less often than this are not verified: at a similarity of 0.8 that
-#: happens to one pair in millions.
-GUESS = 0.45
+#: happens to one pair in a million.
+GUESS = 0.5
+#: Pairs whose ends (twice as many, 16 bytes each) may be broadcast.
+FEW = 50_000
 CELL_BITS = 20
 _BLOCKS = 64
 _STEP = 1 << 19
@@ -203,7 +205,7 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
             yes = (both[0] == both[1]).mean(axis=1) >= GUESS if batch.num_rows else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(yes))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a string, b string")
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: float = LIKE) -> DataFrame:
@@ -217,44 +219,58 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     idf = spark.sparkContext.broadcast(word_weights(raw.select("text")))
     hashed = raw.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    node = F.concat_ws(".", F.hex("h1"), F.hex("h2")).alias("node")  # 128 bits stand for a text
     # One row per document with its samples; texts stay where they are.
     signed = checkpointed(hashed.mapInArrow(_signed(idf), "id long, h1 long, h2 long, bands array<long>, sig binary"))
-    kinds = checkpointed(signed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumn("node", F.xxhash64("h1", "h2", F.lit(3))))
-    in_band = kinds.select("node", "sig", F.posexplode("bands").alias("band", "key"))
-    shared = checkpointed(in_band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key").join(in_band, ["band", "key"]))
-    texts = hashed.select(F.xxhash64("h1", "h2", F.lit(3)).alias("node"), "text")
-    one = kinds.select("node", F.col("id").alias("lead"))
+    kinds = checkpointed(signed.groupBy("h1", "h2").agg(F.min("id").alias("lead"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumn("node", node))
+    in_band = kinds.select("node", "lead", F.posexplode("bands").alias("band", "key"))
+    several = in_band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key")
+    shared = checkpointed(in_band.join(several, ["band", "key"]))
+    sigs = kinds.select("node", "sig")
+    # The only shuffle of all texts: one copy of each that shares a band, for all rounds.
+    asked_for = kinds.join(shared.select("node").distinct(), "node").select("h1", "h2", F.col("lead").alias("id"), "node")
+    texts = checkpointed(hashed.join(asked_for, ["h1", "h2", "id"]).select("node", "text"))
     links, classes, seen, turn = None, None, None, 0
     while True:
         placed = shared.withColumn("class", F.col("node")) if classes is None else shared.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        order = F.xxhash64(F.col("node"), F.lit(turn), F.col("band") if turn else F.lit(0))
-        placed = placed.withColumn("o", order)
+        # The first pivot is the smallest id, mostly what others were copied from; then any.
+        placed = placed.withColumn("o", F.xxhash64(F.col("node"), F.lit(turn), F.col("band")) if turn else F.col("lead"))
         pivot = placed.groupBy("band", "key").agg(F.min(F.struct("o", "node", "class")).alias("p"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("band", "key", F.col("p.node").alias("a"), F.col("p.class").alias("pc"))
         pairs = placed.join(pivot, ["band", "key"]).filter("class <> pc").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        sigs = kinds.select("node", "sig")
-        asked = checkpointed(_agreeing(pairs.join(sigs.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "sb"}), "b").select("a", "b", "sa", "sb")))
-        if asked.isEmpty():
+        asked = checkpointed(_agreeing(pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")))
+        n = asked.count()
+        if not n:
             break
-        ends = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        chosen = checkpointed(texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-        met = asked.join(chosen.withColumnsRenamed({"node": "b", "text": "tb"}), "b").join(chosen.withColumnsRenamed({"node": "a", "text": "ta"}), "a").select("a", "b", "ta", "tb")
-        found = checkpointed(met.mapInArrow(_similar(idf, like), "a long, b long"))
-        fresh = not found.isEmpty()
-        links = found if links is None else links.unionByName(found)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        if not fresh and turn >= 2:
-            break
-        if fresh:
-            classes = checkpointed(components(links))
+        seen = asked if seen is None else seen.unionByName(asked)
+        here = texts
+        if n <= FEW:  # then the texts that aren't asked for needn't move
+            here = texts.join(F.broadcast(asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+        met = asked.join(here.toDF("b", "tb"), "b").join(here.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+        found = checkpointed(met.mapInArrow(_similar(idf, like), "a string, b string").distinct())
         turn += 1
-    members = signed.select("id", F.xxhash64("h1", "h2", F.lit(3)).alias("node"))
+        if found.isEmpty():
+            if turn > 1:
+                break
+            continue
+        links = found if links is None else links.unionByName(found)
+        if classes is None:
+            classes = components(found)
+            classes = checkpointed(classes.toDF("node", "class"))
+        else:
+            of = lambda x: classes.toDF(x, f"c{x}")  # noqa: B023, E731
+            met_classes = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            merged = components(met_classes).toDF("old", "new")
+            every = classes.unionByName(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti").withColumn("class", F.col("node")))
+            classes = checkpointed(every.join(merged, every["class"] == merged["old"], "left").select("node", F.coalesce("new", "class").alias("class")))
+        release(spark)
+    members = signed.select("id", node)
+    one = kinds.select("node", "lead")
     if links is None:
         return members.join(one, "node").select("id", F.col("lead").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    told = one.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")) if classes is not None else one.withColumn("class", F.col("node"))
+    told = one.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     heads = told.groupBy("class").agg(F.min("lead").alias("class_id"))
     by_kind = told.join(heads, "class").join(degree, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return members.join(by_kind, "node").select("id", "class_id", "n_links")
