@@ -9,7 +9,7 @@ would otherwise weigh next to nothing beside any copy's own edits, and the copie
 Samples are drawn so that two texts agree on one with the probability of their weighted Jaccard
 similarity. They are banded; texts that share a band are candidates. In each bucket everyone is
 compared with a pivot, never all with all: exact copies were merged before, a round joins what is
-alike, and further rounds choose other pivots among texts of one bucket that are still apart, until
+alike, and further rounds choose four other pivots where texts of one bucket are still apart, until
 no new link is found. Each link is verified by the weighted Jaccard similarity of the whole texts."""
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ BANDS, ROWS = 14, 3
 #: Pairs whose samples agree less often than this are not verified: at a similarity of 0.8 that
 #: happens to one pair in a million.
 GUESS = 0.5
+#: Pivots of a bucket in the rounds after the first.
+PIVOTS = 4
 #: Pairs whose ends (twice as many, 16 bytes each) may be broadcast.
 FEW = 50_000
 CELL_BITS = 20
@@ -235,8 +237,11 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         placed = shared.withColumn("class", F.col("node")) if classes is None else shared.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
         # The first pivot is the smallest id, mostly what others were copied from; then any.
         placed = placed.withColumn("o", F.xxhash64(F.col("node"), F.lit(turn), F.col("band")) if turn else F.col("lead"))
-        pivot = placed.groupBy("band", "key").agg(F.min(F.struct("o", "node", "class")).alias("p"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("band", "key", F.col("p.node").alias("a"), F.col("p.class").alias("pc"))
-        pairs = placed.join(pivot, ["band", "key"]).filter("class <> pc").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        several = placed.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("band", "key")
+        apart = placed.join(several, ["band", "key"])
+        slot = F.pmod(F.xxhash64(F.col("node"), F.col("band"), F.lit(~turn)), F.lit(PIVOTS if turn else 1))
+        pivot = apart.groupBy("band", "key", slot.alias("slot")).agg(F.min(F.struct("o", "node", "class")).alias("p")).select("band", "key", F.col("p.node").alias("a"), F.col("p.class").alias("pc"))
+        pairs = apart.join(pivot, ["band", "key"]).filter("class <> pc").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         asked = checkpointed(_agreeing(pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")))
