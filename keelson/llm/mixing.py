@@ -74,7 +74,8 @@ def schedule(df: DataFrame, plan: Plan) -> DataFrame:
     """slot, s (the source's number), epoch, block, words (the visit takes that many from the
     block's start). df only lends its session.
 
-    Ranks come from counts per chunk of slots: a source of most slots is no task of its own. Visits
+    Slots are made from a few chunk numbers, which Spark takes for a small table; the hints keep it
+    from broadcasting them. Ranks come from counts per chunk of slots: a source of most slots is no task of its own. Visits
     that a source is short of when the points end are appended, source by source; slots that a
     source has too many of stay free."""
     spark, total = df.sparkSession, sum(plan.visits)
@@ -95,7 +96,7 @@ def schedule(df: DataFrame, plan: Plan) -> DataFrame:
     slots = spark.range(0, chunks, 1, max(1, min(chunks, int(spark.conf.get("spark.sql.shuffle.partitions"))))).mapInArrow(points, "chunk long, slot long, s int, local long")
     counts = slots.groupBy("chunk", "s").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("chunk", "s", (F.sum("n").over(Window.partitionBy("s").orderBy("chunk")) - F.col("n")).alias("earlier"))
-    ranked = slots.join(before, ["chunk", "s"]).select("slot", "s", (F.col("local") + F.col("earlier")).alias("rank"))
+    ranked = slots.hint("merge").join(before.hint("merge"), ["chunk", "s"]).select("slot", "s", (F.col("local") + F.col("earlier")).alias("rank"))
     got = {r["s"]: r["n"] for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()}
     late, at = [], total
     for s, n in enumerate(plan.visits):
@@ -136,7 +137,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     low = F.greatest(F.col("at") - F.col("block") * plan.block, F.lit(0))
     high = F.least(F.col("at") + F.col("size") - F.col("block") * plan.block, F.lit(plan.block).cast("long"))
     taken = F.aggregate("visits", F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.lit(0).cast("long"), F.least(F.col("high"), w) - F.col("low")))
-    joined = pieces.withColumn("low", low).withColumn("high", high).join(used, ["s", "block"], "left").withColumn("t", F.when(F.col("visits").isNotNull(), taken).otherwise(F.lit(0).cast("long")))
+    joined = pieces.withColumn("low", low).withColumn("high", high).hint("merge").join(used.hint("merge"), ["s", "block"], "left").withColumn("t", F.when(F.col("visits").isNotNull(), taken).otherwise(F.lit(0).cast("long")))
     return joined.groupBy("row").agg(F.first("id").alias("id"), F.first("size").alias("size"), F.first("n").alias("source_size"), F.first("target").alias("target"), F.sum("t").alias("taken")).drop("row")
 
 
