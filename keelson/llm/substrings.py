@@ -215,7 +215,7 @@ def _positions(got: bytes) -> np.ndarray:
     return np.frombuffer(got, np.uint32).astype(np.int64)
 
 
-def _met(width: int, by_rank: bool, bins: int):
+def _met(width: int, by_rank: bool, homes: int):
     """All entries of a bin: marks, packed by bin of the document."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -245,7 +245,7 @@ def _met(width: int, by_rank: bool, bins: int):
         if not marks or not sum(len(m[0]) for m in marks):
             return pa.Table.from_pylist([], schema=_PACKED)
         ids, sums, pos = (np.concatenate([m[i] for m in marks]) for i in range(3))
-        to = (sums.astype(np.uint64) >> np.uint64(20)) % np.uint64(bins)
+        to = (sums.astype(np.uint64) >> np.uint64(20)) % np.uint64(homes)
         order = np.lexsort((sums, ids, to))
         ids, sums, pos, to = ids[order], sums[order], pos[order], to[order]
         at = _runs(to)
@@ -272,8 +272,9 @@ def _by_document(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids[first]), pa.array(sums[first]), pa.array([pos[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], schema=_MARKS)
 
 
-def _marked(packed_rows: DataFrame, width: int, by_rank: bool, bins: int) -> DataFrame:
-    met = packed_rows.groupBy("bin").applyInArrow(_met(width, by_rank, bins), "home int, docs binary, counts binary, pos binary")
+def _marked(packed_rows: DataFrame, width: int, by_rank: bool) -> DataFrame:
+    homes = max(8, parts(packed_rows) // 4)  # marks are few; each bin sends a row to each home at most
+    met = packed_rows.groupBy("bin").applyInArrow(_met(width, by_rank, homes), "home int, docs binary, counts binary, pos binary")
     return met.groupBy("home").applyInArrow(_by_document, "id long, sum long, marks binary")
 
 
@@ -309,13 +310,13 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     bins = 2 * parts(df)
     slim = texts.select("id", "sum", "text")
-    shared = _marked(slim.mapInArrow(_anchors(bins), _ROW), 1, False, bins)
+    shared = _marked(slim.mapInArrow(_anchors(bins), _ROW), 1, False)
 
     def meet(marks: DataFrame) -> DataFrame:
         marks = marks.withColumnsRenamed({"id": "mid", "sum": "msum"})
         return texts.join(marks, (F.col("id") == F.col("mid")) & (F.col("sum") == F.col("msum")), "left").select("id", "sum", "text", "marks", "own")
 
-    later = _marked(meet(shared).mapInArrow(_windows(bins), _ROW), 2, True, bins)
+    later = _marked(meet(shared).mapInArrow(_windows(bins), _ROW), 2, True)
     return meet(later).mapInArrow(_reassembled, "id long, n_words long, n_removed long, kept binary")
 
 
