@@ -7,10 +7,12 @@ frequencies, not the shingles' own, make the weights: a passage that thousands o
 would otherwise weigh next to nothing beside any copy's own edits, and the copies would drift apart.
 
 Samples are drawn so that two texts agree on one with the probability of their weighted Jaccard
-similarity. They are banded; texts that share a band are candidates. In each bucket everyone is
-compared with a pivot, never all with all: exact copies were merged before, a round joins what is
-alike, and further rounds choose four other pivots where texts of one bucket are still apart, until
-no new link is found. Each link is verified by the weighted Jaccard similarity of the whole texts."""
+similarity. They are banded; texts that share a band are candidates. Exact copies were merged
+before. Rounds of pivots come first, as they join most of what is alike with few comparisons: one
+pivot of each bucket, then four others (all members of small buckets) where texts of one bucket are
+still apart, until no new link is found. Then whatever is apart in a bucket is compared, each text
+with each of another class, in blocks of texts. Each link is verified by the weighted Jaccard
+similarity of the whole texts."""
 
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, mix64, own_names, packed, release, steps, text_buffer, unpacked, window_hashes
+from .common import Words, checkpointed, mix64, own_names, packed, release, running_totals, steps, text_buffer, unpacked, window_hashes
 from .components import components
 
 SHINGLE = 5
@@ -30,6 +32,10 @@ BANDS, ROWS = 14, 3
 GUESS = 0.5
 #: Pivots of a bucket in the rounds after the first.
 PIVOTS = 4
+#: In buckets of so many texts at most, the second round compares all.
+SMALL = 8
+#: Bytes of a block's texts, each counted as so many more: some 1,000 texts at most.
+BLOCK, BESIDES = 1 << 20, 1 << 10
 #: Pairs whose ends (twice as many, 16 bytes each) may be broadcast.
 FEW = 50_000
 CELL_BITS = 20
@@ -198,6 +204,77 @@ def _similar(idf, like: float):
     return run
 
 
+def _sums_of_least(a: tuple, b: tuple, shape: tuple[int, int]) -> np.ndarray:
+    """The weight that texts of a and b have in common, for all pairs; a and b: keys and weights."""
+    (ta, ha), (tb, hb) = (((k >> np.uint64(52)).astype(np.int64), k & np.uint64((1 << 52) - 1)) for k in (a[0], b[0]))
+    oa, ob = np.argsort(ha, kind="stable"), np.argsort(hb, kind="stable")
+    ta, ha, wa, tb, hb, wb = ta[oa], ha[oa], a[1][oa], tb[ob], hb[ob], b[1][ob]
+    common = np.intersect1d(ha, hb)
+    a0, a1, b0, b1 = (np.searchsorted(h, common, side) for h in (ha, hb) for side in ("left", "right"))
+    na, nb = a1 - a0, b1 - b0
+    out = np.zeros(shape)
+    for k in np.flatnonzero(na * nb > 256):
+        i, j = slice(a0[k], a1[k]), slice(b0[k], b1[k])
+        out[np.ix_(ta[i], tb[j])] += np.minimum.outer(wa[i], wb[j])
+    few = np.flatnonzero(na * nb <= 256)
+    for k in range(0, len(few), 1 << 14):
+        part = few[k : k + (1 << 14)]
+        n = na[part] * nb[part]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(nb[part], n)
+        i, j = np.repeat(a0[part], n) + at // wide, np.repeat(b0[part], n) + at % wide
+        out += np.bincount(ta[i] * shape[1] + tb[j], np.minimum(wa[i], wb[j]), shape[0] * shape[1]).reshape(shape)
+    return out
+
+
+def _crossed(idf, like: float):
+    """Links between the classes of two blocks (or of one, if there is no second): all pairs of
+    texts are compared; of two classes that are alike one link is told, which joins them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        second = table.column("second").to_numpy().astype(bool)
+        sides = [table.filter(pa.array(~second)).combine_chunks(), table.filter(pa.array(second)).combine_chunks()]
+        sides = sides if second.any() else [sides[0]] * 2
+        names = np.unique(np.array(table.column("class").to_pylist()))
+        known = []
+        for t in sides[: 1 + second.any()]:
+            keys, weight, _ = shingles(t.column("text").combine_chunks(), idf.value)
+            total = np.bincount((keys >> np.uint64(52)).astype(np.int64), weight, t.num_rows)
+            known.append((keys, weight, total, np.searchsorted(names, np.array(t.column("class").to_pylist()))))
+        (ka, wa, sa, ca), (kb, wb, sb, cb) = known[0], known[-1]
+        least = _sums_of_least((ka, wa), (kb, wb), (len(sa), len(sb)))
+        most = sa[:, None] + sb[None] - least
+        i, j = np.nonzero((least >= like * most - 1e-9) & (most > 0) & (ca[:, None] != cb[None]))
+        low, high = np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])
+        _, at = np.unique(low.astype(np.int64) * len(names) + high, return_index=True)
+        left, right = (t.column("node").to_pylist() for t in sides)
+        ends = [sorted((left[i[k]], right[j[k]])) for k in at]
+        return pa.table({"a": pa.array([e[0] for e in ends], pa.string()), "b": pa.array([e[1] for e in ends], pa.string())})
+
+    return run
+
+
+def _rest(placed: DataFrame, texts: DataFrame, idf, like: float) -> DataFrame | None:
+    """Links (a, b) between texts of different classes that share a bucket of more than SMALL, all
+    pairs compared; placed: node, band, key, class. None if no such bucket is left.
+
+    Members of a bucket stand in the order of their classes and are cut into blocks, so that blocks
+    of one class needn't meet. Each two blocks are a group of their own, however large the bucket."""
+    several = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter(f"low <> high AND n > {SMALL}").select("band", "key")
+    sizes = texts.groupBy("node").agg(F.max(F.octet_length("text") + BESIDES).cast("long").alias("size"))
+    rows = checkpointed(placed.join(several, ["band", "key"]).select("band", "key", "class", "node").join(sizes, "node"))
+    if rows.isEmpty():
+        return None
+    rows = checkpointed(running_totals(rows, ["band", "key", "class", "node"], ["size"]))
+    starts = rows.groupBy("band", "key").agg(F.min("before_size").alias("start"))
+    rows = checkpointed(rows.join(starts, ["band", "key"]).select("band", "key", "class", "node", F.floor((F.col("before_size") - F.col("start")) / BLOCK).alias("block")))
+    blocks = rows.groupBy("band", "key", "block").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    both = blocks.toDF("band", "key", "i", "li", "hi").join(blocks.toDF("band", "key", "j", "lj", "hj"), ["band", "key"]).filter("i <= j AND NOT (li = hi AND lj = hj AND li = lj)")
+    sides = both.select("band", "key", "i", "j", F.explode(F.when(F.col("i") < F.col("j"), F.array("i", "j")).otherwise(F.array("i"))).alias("block"))
+    dealt = sides.join(rows, ["band", "key", "block"]).select("band", "key", "i", "j", (F.col("block") > F.col("i")).cast("int").alias("second"), "class", "node").join(texts, "node")
+    return dealt.groupBy("band", "key", "i", "j").applyInArrow(_crossed(idf, like), "a string, b string").distinct()
+
+
 def _agreeing(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b, sa, sb) whose samples agree often enough to be verified."""
 
@@ -232,33 +309,42 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The only shuffle of all texts: one copy of each that shares a band, for all rounds.
     asked_for = kinds.join(shared.select("node").distinct(), "node").select("h1", "h2", F.col("lead").alias("id"), "node")
     texts = checkpointed(hashed.join(asked_for, ["h1", "h2", "id"]).select("node", "text"))
-    links, classes, seen, turn = None, None, None, 0
+    links, classes, seen, turn, ended = None, None, None, 0, False
     while True:
         placed = shared.withColumn("class", F.col("node")) if classes is None else shared.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        # The first pivot is the smallest id, mostly what others were copied from; then any.
-        placed = placed.withColumn("o", F.xxhash64(F.col("node"), F.lit(turn), F.col("band")) if turn else F.col("lead"))
-        several = placed.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("band", "key")
-        apart = placed.join(several, ["band", "key"])
-        slot = F.pmod(F.xxhash64(F.col("node"), F.col("band"), F.lit(~turn)), F.lit(PIVOTS if turn else 1))
-        pivot = apart.groupBy("band", "key", slot.alias("slot")).agg(F.min(F.struct("o", "node", "class")).alias("p")).select("band", "key", F.col("p.node").alias("a"), F.col("p.class").alias("pc"))
-        pairs = apart.join(pivot, ["band", "key"]).filter("class <> pc").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        asked = checkpointed(_agreeing(pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")))
-        n = asked.count()
-        if not n:
-            break
-        seen = asked if seen is None else seen.unionByName(asked)
-        here = texts
-        if n <= FEW:  # then the texts that aren't asked for needn't move
-            here = texts.join(F.broadcast(asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
-        met = asked.join(here.toDF("b", "tb"), "b").join(here.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-        found = checkpointed(met.mapInArrow(_similar(idf, like), "a string, b string").distinct())
-        turn += 1
-        if found.isEmpty():
-            if turn > 1:
+        if ended:
+            found = _rest(placed, texts, idf, like)
+            found = None if found is None else checkpointed(found)
+            if found is None or found.isEmpty():
                 break
-            continue
+        else:
+            # The first pivot is the smallest id, mostly what others were copied from; then any.
+            placed = placed.withColumn("o", F.xxhash64(F.col("node"), F.lit(turn), F.col("band")) if turn else F.col("lead"))
+            several = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("band", "key", "n")
+            if turn > 1:  # all pairs of small buckets have met
+                several = several.filter(f"n > {SMALL}")
+            apart = placed.join(several, ["band", "key"])
+            slot = F.pmod(F.xxhash64(F.col("node"), F.col("band"), F.lit(~turn)), F.lit(PIVOTS if turn else 1))
+            if turn == 1:
+                slot = F.when(F.col("n") <= SMALL, F.xxhash64("node")).otherwise(slot)
+            pivot = apart.groupBy("band", "key", slot.alias("slot")).agg(F.min(F.struct("o", "node", "class")).alias("p")).select("band", "key", F.col("p.node").alias("a"), F.col("p.class").alias("pc"))
+            pairs = apart.join(pivot, ["band", "key"]).filter("class <> pc").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+            if seen is not None:
+                pairs = pairs.join(seen, ["a", "b"], "left_anti")
+            asked = checkpointed(_agreeing(pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")))
+            turn += 1
+            if not (n := asked.count()):
+                ended = turn > 1
+                continue
+            seen = asked if seen is None else seen.unionByName(asked)
+            here = texts
+            if n <= FEW:  # then the texts that aren't asked for needn't move
+                here = texts.join(F.broadcast(asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+            met = asked.join(here.toDF("b", "tb"), "b").join(here.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+            found = checkpointed(met.mapInArrow(_similar(idf, like), "a string, b string").distinct())
+            if found.isEmpty():
+                ended = turn > 1
+                continue
         links = found if links is None else links.unionByName(found)
         if classes is None:
             classes = components(found)
@@ -270,6 +356,8 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             every = classes.unionByName(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti").withColumn("class", F.col("node")))
             classes = checkpointed(every.join(merged, every["class"] == merged["old"], "left").select("node", F.coalesce("new", "class").alias("class")))
         release(spark)
+        if ended:
+            break
     members = signed.select("id", node)
     one = kinds.select("node", "lead")
     if links is None:

@@ -253,6 +253,38 @@ def test_near_classes(odd, none):
     assert minhash.near_classes(none).count() == 0
 
 
+def test_near_pairs_in_a_large_template_group(spark):
+    """Texts of one template, most pairs below 0.8, so that no pivot stands for the others."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    template = [f"t{i}" for i in range(300)]
+
+    def edit(words, n):
+        words = list(words)
+        for i in rng.sample(range(len(words)), n):
+            words[i] = f"e{rng.randrange(10**9)}"
+        return words
+
+    texts = [edit(template, 5) for _ in range(600)]
+    texts += [edit(t, 4) for t in texts[:40]]
+    texts = [" ".join(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["class_id"] for r in minhash.near_classes(df).collect()}
+    keys, weight, _ = minhash.shingles(pa.array(texts), minhash.word_weights(df.select("text")))
+    sets = [{} for _ in texts]
+    for k, w in zip(keys.tolist(), weight.tolist(), strict=True):
+        sets[k >> 52][k & ((1 << 52) - 1)] = w
+    near, total = [], [sum(s.values()) for s in sets]
+    for i in range(len(texts)):
+        for j in range(i):
+            least = sum(min(w, sets[j].get(k, 0)) for k, w in sets[i].items())
+            if least >= minhash.LIKE * (total[i] + total[j] - least):
+                near.append((i, j))
+    assert 40 <= len(near) < 0.05 * len(texts) ** 2 / 2
+    assert [(i, j) for i, j in near if got[i] != got[j]] == []
+
+
 def test_samples_agree_as_often_as_sets():
     import pyarrow as pa
 
