@@ -79,7 +79,8 @@ def schedule(df: DataFrame, plan: Plan) -> DataFrame:
     that a source is short of when the points end are appended, source by source; slots that a
     source has too many of stay free."""
     spark, total = df.sparkSession, sum(plan.visits)
-    edges = np.array([(c << 64) // max(total, 1) for c in np.cumsum(np.array(plan.visits, object))][:-1], np.uint64)
+    # Where only sources without visits follow, the edge would be 2^64; a point at the clipped edge is a free slot.
+    edges = np.array([min((c << 64) // max(total, 1), (1 << 64) - 1) for c in np.cumsum(np.array(plan.visits, object))][:-1], np.uint64)
 
     def points(batches):
         for batch in batches:

@@ -233,6 +233,13 @@ def test_schedule_spreads_sources(spark):
         assert abs(sum(r.s == k for r in half) - n / 2) <= 12
 
 
+def test_mix_with_last_sources_without_words(spark):
+    rows = [(i, "some words of a text", "ab"[i % 2]) for i in range(60)] + [(60, " ", "y"), (61, "", "z"), (62, None, None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r.id for r in got) == list(range(63)) and sum(r.taken for r in got) == 450
+    assert all(r.taken == r.target == 0 for r in got if r.id >= 60)
+
+
 def jaccard(a, b):
     s = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (WORD.findall(x) for x in (a, b))]
     return len(s[0] & s[1]) / max(1, len(s[0] | s[1]))
