@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import bpe, gam, lines, minhash, mixing
-from keelson.llm.common import ensure_checkpoint_dir, read
+from keelson.llm.common import checkpointed, ensure_checkpoint_dir, read
 from keelson.llm.queries import tokenizer
 
 
@@ -27,19 +27,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __row, a number of each row's own, and __hash, of all its columns. Ids may be null
+    or repeated; a checkpoint holds the numbers."""
+    return checkpointed(docs.withColumn("__hash", F.xxhash64(*docs.columns)).withColumn("__row", F.monotonically_increasing_id()))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: that of the smallest id."""
-    classes = minhash.near_classes(docs)
-    heads = classes.filter("id = class_id").select(F.col("id").alias("__head")).distinct()
-    return docs.join(heads, docs["doc_id"] == heads["__head"], "left_semi").select(docs.columns)
+    """One row of each class of near copies stays: that of the smallest id. Rows are told apart by
+    a key of their own: a null id comes last but is an id like others, and of rows that share an id
+    (alike or not, repeated or not) each belongs to the class of its text."""
+    keyed = _keyed(docs)
+    classes = minhash.near_classes(keyed, id_col="__row").select(F.col("id").alias("__row"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__hash", "__row")).alias("first")
+    heads = keyed.select("doc_id", "__hash", "__row").join(classes, "__row").groupBy("class_id").agg(first).select(F.col("first.__row").alias("__row"))
+    return keyed.join(heads, "__row", "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, rounded: rows repeat where a source is
-    taken more than once and go where it is taken less."""
-    taken = mixing.mix(docs).select(F.col("id").alias("__id"), F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("__times")).filter("__times > 0")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    taken more than once and go where it is taken less. Rows are told apart by a key of their own,
+    so that null and repeated ids are each taken as often as their own words are."""
+    keyed = _keyed(docs).withColumn("__key", F.struct("__hash", "__row"))
+    times = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("__times")
+    taken = mixing.mix(keyed, key_col="__key").select(F.col("key.__row").alias("__row"), times).filter("__times > 0")
+    return keyed.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

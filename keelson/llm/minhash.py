@@ -307,8 +307,9 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = checkpointed(in_band.join(several, ["band", "key"]))
     sigs = kinds.select("node", "sig")
     # The only shuffle of all texts: one copy of each that shares a band, for all rounds.
-    asked_for = kinds.join(shared.select("node").distinct(), "node").select("h1", "h2", F.col("lead").alias("id"), "node")
-    texts = checkpointed(hashed.join(asked_for, ["h1", "h2", "id"]).select("node", "text"))
+    asked_for = kinds.join(shared.select("node").distinct(), "node").select("h1", "h2", F.col("lead").alias("id"), "node").alias("t")
+    own = hashed.alias("d")  # a text whose ids are all null is found by null
+    texts = checkpointed(own.join(asked_for, (F.col("d.h1") == F.col("t.h1")) & (F.col("d.h2") == F.col("t.h2")) & F.col("d.id").eqNullSafe(F.col("t.id"))).select("node", "text"))
     links, classes, seen, turn, ended = None, None, None, 0, False
     while True:
         placed = shared.withColumn("class", F.col("node")) if classes is None else shared.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))

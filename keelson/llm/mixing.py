@@ -120,26 +120,28 @@ def _of_sources(spark, plan: Plan) -> DataFrame:
     return spark.createDataFrame(rows, T.StructType.fromDDL("s int, source string, n long, target double, w long, blocks long, visits long, offset long"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, key_col: str | None = None) -> DataFrame:
     """id, size, source_size, target, taken: one row per row of df.
 
     Null and empty texts have no words and nothing is taken of them; a null source is a source of
-    its own, the last. Rows of equal ids are all mixed. An empty table gives an empty result. Other
+    its own, the last. Rows of equal ids are all mixed; key_col, a key of each
+    row, is told as key where it is given, and orders rows of one id. An empty table gives an empty result. Other
     columns are ignored."""
-    thin = own_names(df, id=id_col, text=text_col, source=source_col).select("id", F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
+    keys = ["key"] if key_col else []
+    thin = own_names(df, id=id_col, text=text_col, source=source_col, **dict.fromkeys(keys, key_col)).select("id", *keys, F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
     thin = checkpointed(thin)
     plan = Plan(*source_table(thin), weights, share, most)
     known = F.broadcast(_of_sources(df.sparkSession, plan).select("s", F.col("source").alias("of"), "n", "target", "offset"))
-    named = thin.join(known, F.col("source").eqNullSafe(F.col("of"))).select("s", F.xxhash64(F.lit(13), "id").alias("h"), "id", "size", "n", "target", "offset", F.lit(1).cast("long").alias("one"))
-    rows = running_totals(named, ["s", "h", "id", "size"], ["size", "one"])
+    named = thin.join(known, F.col("source").eqNullSafe(F.col("of"))).select("s", F.xxhash64(F.lit(13), "id").alias("h"), "id", *keys, "size", "n", "target", "offset", F.lit(1).cast("long").alias("one"))
+    rows = running_totals(named, ["s", "h", "id", "size", *keys], ["size", "one"])
     at = F.col("before_size") - F.col("offset")
-    pieces = rows.select(F.col("before_one").alias("row"), "s", "id", "size", "n", "target", at.alias("at"), F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(at / plan.block), F.floor((at + F.col("size") - 1) / plan.block)))).alias("block"))
+    pieces = rows.select(F.col("before_one").alias("row"), "s", "id", *keys, "size", "n", "target", at.alias("at"), F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(at / plan.block), F.floor((at + F.col("size") - 1) / plan.block)))).alias("block"))
     used = schedule(df, plan).groupBy("s", "block").agg(F.collect_list("words").alias("visits"))
     low = F.greatest(F.col("at") - F.col("block") * plan.block, F.lit(0))
     high = F.least(F.col("at") + F.col("size") - F.col("block") * plan.block, F.lit(plan.block).cast("long"))
     taken = F.aggregate("visits", F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.lit(0).cast("long"), F.least(F.col("high"), w) - F.col("low")))
     joined = pieces.withColumn("low", low).withColumn("high", high).hint("merge").join(used.hint("merge"), ["s", "block"], "left").withColumn("t", F.when(F.col("visits").isNotNull(), taken).otherwise(F.lit(0).cast("long")))
-    return joined.groupBy("row").agg(F.first("id").alias("id"), F.first("size").alias("size"), F.first("n").alias("source_size"), F.first("target").alias("target"), F.sum("t").alias("taken")).drop("row")
+    return joined.groupBy("row").agg(F.first("id").alias("id"), *(F.first(k).alias(k) for k in keys), F.first("size").alias("size"), F.first("n").alias("source_size"), F.first("target").alias("target"), F.sum("t").alias("taken")).drop("row")
 
 
 def digest(mixed: DataFrame) -> DataFrame:

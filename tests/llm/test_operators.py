@@ -260,6 +260,12 @@ def test_near_classes(odd, none):
     assert minhash.near_classes(none).count() == 0
 
 
+def test_near_texts_without_ids(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    got = minhash.near_classes(spark.createDataFrame([(None, a), (None, a + " more"), (4, "other")], "doc_id long, text string")).collect()
+    assert sorted((r.class_id is None, r.n_links) for r in got) == [(False, 0), (True, 1), (True, 1)]
+
+
 def test_near_pairs_in_a_large_template_group(spark):
     """Texts of one template, most pairs below 0.8, so that no pivot stands for the others."""
     import pyarrow as pa

@@ -1,5 +1,7 @@
 """The queries on the smallest tables, and the stages one by one."""
 
+import collections
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +39,20 @@ def test_stages(spark, tmp_path):
     assert encoded.count() == mixed.count() and encoded.filter("n_tokens < 1").count() == 0
     decoded = encoded.select("doc_id", "decoded_sha256").distinct().join(near.select("doc_id", F.sha2("text", 256).alias("own")), "doc_id")
     assert decoded.filter("decoded_sha256 <> own").count() == 0
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    near = text(2).rsplit(" ", 1)[0]
+    rows = [(1, text(1), "a"), (1, text(1), "a"), (None, text(2), "a"), (None, near, "b"), (None, text(3), "b"), (5, text(4), "b"), (7, text(5), "b"), (7, text(4), "b"), (None, text(6), None), (None, text(6), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = sorted(map(str, p.near_dedup(spark, docs, SF).collect()))
+    assert len(kept) == 6 and sum(text(2)[:200] in r for r in kept) == 1
+    for want in ((1, text(1), "a"), (None, text(3), "b"), (5, text(4), "b"), (7, text(5), "b"), (None, text(6), None)):
+        assert kept.count(f"Row(doc_id={want[0]}, text='{want[1]}', source={want[2]!r})") == 1
+    same = spark.createDataFrame([(None, text(k), "a") for k in range(8)] + [(3, text(9), "b")] * 4, "doc_id long, text string, source string")
+    mixed = p.mix_sources(spark, same, SF).collect()
+    assert len(mixed) == 18 and sum(r.doc_id is None for r in mixed) in range(11, 14)
+    assert all(n <= 2 for n in collections.Counter(r.text for r in mixed if r.doc_id is None).values())
