@@ -33,11 +33,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """checkpoint() needs a folder that all executors share: the cluster's own setting, and only
-    where that is unset (local tests) a temporary one."""
+    """checkpoint() needs a folder that all executors share: the cluster's own setting. Only where
+    that is unset and all runs on one machine (a local master) a temporary folder is taken."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keelson-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master or "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="keelson-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -163,29 +166,6 @@ def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]
         yield begin, len(sizes)
 
 
-class Memory(dict):
-    """Remembers at least the last `most` / 2 different keys' values and what is asked for again;
-    subclasses say in `make` how a value is made."""
-
-    def __init__(self, most: int, longest: int = 256) -> None:
-        super().__init__()
-        self.most, self.longest, self.old = most // 2, longest, {}
-
-    def __missing__(self, key):
-        got = self.old.get(key)
-        if got is None:
-            got = self.make(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = got
-        return got
-
-    def make(self, key):
-        raise NotImplementedError
-
-
 def packed(*columns: np.ndarray) -> bytes:
     """Columns of equal length, one after another, as bytes."""
     return b"".join(np.ascontiguousarray(x).tobytes() for x in columns)
@@ -241,5 +221,3 @@ def running_totals(df: DataFrame, order: list, values: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], names=[*names, *(f"before_{v}" for v in values)])
 
     return spread.mapInArrow(run, schema)
-
-
