@@ -38,7 +38,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not (sc.master or "").startswith("local["):
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="keelson-"))
 

@@ -8,20 +8,22 @@ would otherwise weigh next to nothing beside any copy's own edits, and the copie
 
 Samples are drawn so that two texts agree on one with the probability of their weighted Jaccard
 similarity. They are banded; texts that share a band are candidates. Exact copies were merged
-before. Rounds of pivots come first, as they join most of what is alike with few comparisons: one
-pivot of each bucket, then four others (all members of small buckets) where texts of one bucket are
-still apart, until no new link is found. Then whatever is apart in a bucket is compared, each text
-with each of another class, in blocks of texts. Each link is verified by the weighted Jaccard
+before. Two rounds of pivots come first, as they join most of what is alike with few comparisons:
+one pivot of each bucket, then four others (all members of small buckets) where texts of one bucket
+are still apart. Then whatever is apart in a larger bucket is compared in blocks: the texts outside
+the class of the bucket's first text meet one another and that class, so of a large group of copies
+only the few that are still apart meet the many. Each link is verified by the weighted Jaccard
 similarity of the whole texts."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, mix64, own_names, packed, release, running_totals, steps, text_buffer, unpacked, window_hashes
+from .common import Words, checkpointed, mix64, own_names, packed, release, steps, text_buffer, unpacked, window_hashes
 from .components import components
 
 SHINGLE = 5
@@ -34,8 +36,10 @@ GUESS = 0.5
 PIVOTS = 4
 #: In buckets of so many texts at most, the second round compares all.
 SMALL = 8
-#: Bytes of a block's texts, each counted as so many more: some 1,000 texts at most.
-BLOCK, BESIDES = 1 << 20, 1 << 10
+#: Bytes of a block's texts, each counted as so many more: some 2,000 texts.
+BLOCK, BESIDES = 1 << 21, 1 << 10
+#: Texts of a block whose similarities with another block's are worked out at once.
+_SIDE = 512
 #: Pairs whose ends (twice as many, 16 bytes each) may be broadcast.
 FEW = 50_000
 CELL_BITS = 20
@@ -182,7 +186,8 @@ def _signed(idf):
                 short = (got & np.uint64(0xFFFF)).astype(np.uint16)
                 at = iter(range(len(got)))
                 rows = [(bands[i].view(np.int64), short[i].tobytes()) if yes and (i := next(at)) >= 0 else (np.zeros(0, np.int64), b"") for yes in has.tolist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.binary())], names=["id", "h1", "h2", "bands", "sig"])
+                size = pc.binary_length(part.column(3)).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], size, pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.binary())], names=["id", "h1", "h2", "size", "bands", "sig"])
 
     return run
 
@@ -231,47 +236,60 @@ def _crossed(idf, like: float):
     """Links between the classes of two blocks (or of one, if there is no second): all pairs of
     texts are compared; of two classes that are alike one link is told, which joins them."""
 
+    def known(t: pa.Table, names: np.ndarray) -> list[tuple]:
+        """By some hundred texts: where they begin, keys, weights, their sums, and classes."""
+        out = []
+        for k in range(0, t.num_rows, _SIDE):
+            part = t.slice(k, _SIDE)
+            keys, weight, _ = shingles(part.column("text").combine_chunks(), idf.value)
+            total = np.bincount((keys >> np.uint64(52)).astype(np.int64), weight, part.num_rows)
+            out.append((k, keys, weight, total, np.searchsorted(names, np.array(part.column("class").to_pylist()))))
+        return out
+
     def run(table: pa.Table) -> pa.Table:
         second = table.column("second").to_numpy().astype(bool)
-        sides = [table.filter(pa.array(~second)).combine_chunks(), table.filter(pa.array(second)).combine_chunks()]
-        sides = sides if second.any() else [sides[0]] * 2
+        left, right = table.filter(pa.array(~second)).combine_chunks(), table.filter(pa.array(second)).combine_chunks()
+        right = right if second.any() else left
         names = np.unique(np.array(table.column("class").to_pylist()))
-        known = []
-        for t in sides[: 1 + second.any()]:
-            keys, weight, _ = shingles(t.column("text").combine_chunks(), idf.value)
-            total = np.bincount((keys >> np.uint64(52)).astype(np.int64), weight, t.num_rows)
-            known.append((keys, weight, total, np.searchsorted(names, np.array(t.column("class").to_pylist()))))
-        (ka, wa, sa, ca), (kb, wb, sb, cb) = known[0], known[-1]
-        least = _sums_of_least((ka, wa), (kb, wb), (len(sa), len(sb)))
-        most = sa[:, None] + sb[None] - least
-        i, j = np.nonzero((least >= like * most - 1e-9) & (most > 0) & (ca[:, None] != cb[None]))
-        low, high = np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])
-        _, at = np.unique(low.astype(np.int64) * len(names) + high, return_index=True)
-        left, right = (t.column("node").to_pylist() for t in sides)
-        ends = [sorted((left[i[k]], right[j[k]])) for k in at]
-        return pa.table({"a": pa.array([e[0] for e in ends], pa.string()), "b": pa.array([e[1] for e in ends], pa.string())})
+        ends = {}
+        for k, ka, wa, sa, ca in (ours := known(left, names)):
+            for m, kb, wb, sb, cb in ours if right is left else known(right, names):
+                if right is left and m < k or len(np.union1d(ca, cb)) == 1:
+                    continue
+                least = _sums_of_least((ka, wa), (kb, wb), (len(sa), len(sb)))
+                most = sa[:, None] + sb[None] - least
+                for i, j in np.argwhere((least >= like * most - 1e-9) & (most > 0) & (ca[:, None] != cb[None])).tolist():
+                    ends.setdefault((min(ca[i], cb[j]), max(ca[i], cb[j])), (k + i, m + j))
+        one, two = left.column("node"), right.column("node")
+        links = [sorted((one[i].as_py(), two[j].as_py())) for i, j in ends.values()]
+        return pa.table({"a": pa.array([e[0] for e in links], pa.string()), "b": pa.array([e[1] for e in links], pa.string())})
 
     return run
 
 
 def _rest(placed: DataFrame, texts: DataFrame, idf, like: float) -> DataFrame | None:
     """Links (a, b) between texts of different classes that share a bucket of more than SMALL, all
-    pairs compared; placed: node, band, key, class. None if no such bucket is left.
-
-    Members of a bucket stand in the order of their classes and are cut into blocks, so that blocks
-    of one class needn't meet. Each two blocks are a group of their own, however large the bucket."""
-    several = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter(f"low <> high AND n > {SMALL}").select("band", "key")
-    sizes = texts.groupBy("node").agg(F.max(F.octet_length("text") + BESIDES).cast("long").alias("size"))
-    rows = checkpointed(placed.join(several, ["band", "key"]).select("band", "key", "class", "node").join(sizes, "node"))
-    if rows.isEmpty():
+    pairs compared; placed: node, lead, size, band, key, class. None if no such bucket is left.
+
+    A bucket's home is the class of its smallest lead. Members of home and the others are dealt to
+    blocks by their hashes. Blocks of others meet one another and the blocks of home; home's own
+    need not. Each two blocks are a group of their own, however large the bucket."""
+    home = F.min(F.struct("lead", "class"))["class"].alias("home")
+    several = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), home).filter(f"low <> high AND n > {SMALL}").select("band", "key", "home")
+    rows = checkpointed(placed.join(several, ["band", "key"]).select("band", "key", "class", "node", "size", (F.col("class") != F.col("home")).alias("other")))
+    bytes_of = lambda which: F.coalesce(F.sum(F.when(which, F.col("size") + BESIDES)), F.lit(0))
+    blocks = lambda which: F.ceil(bytes_of(which) / BLOCK).cast("int")
+    cut = checkpointed(rows.groupBy("band", "key").agg(blocks(~F.col("other")).alias("homes"), blocks(F.col("other")).alias("others")))
+    if cut.isEmpty():
         return None
-    rows = checkpointed(running_totals(rows, ["band", "key", "class", "node"], ["size"]))
-    starts = rows.groupBy("band", "key").agg(F.min("before_size").alias("start"))
-    rows = checkpointed(rows.join(starts, ["band", "key"]).select("band", "key", "class", "node", F.floor((F.col("before_size") - F.col("start")) / BLOCK).alias("block")))
-    blocks = rows.groupBy("band", "key", "block").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    both = blocks.toDF("band", "key", "i", "li", "hi").join(blocks.toDF("band", "key", "j", "lj", "hj"), ["band", "key"]).filter("i <= j AND NOT (li = hi AND lj = hj AND li = lj)")
-    sides = both.select("band", "key", "i", "j", F.explode(F.when(F.col("i") < F.col("j"), F.array("i", "j")).otherwise(F.array("i"))).alias("block"))
-    dealt = sides.join(rows, ["band", "key", "block"]).select("band", "key", "i", "j", (F.col("block") > F.col("i")).cast("int").alias("second"), "class", "node").join(texts, "node")
+    # Blocks of others are numbered first, then those of home.
+    i = cut.select("*", F.explode(F.expr("sequence(0, others - 1)")).alias("i"))
+    both = i.select("band", "key", "i", F.explode(F.expr("sequence(i, others + homes - 1)")).alias("j"))
+    sides = both.select("band", "key", "i", "j", F.explode(F.expr("array_distinct(array(i, j))")).alias("block"))
+    hashed = F.xxhash64("node", "band")
+    block = F.when(F.col("other"), F.pmod(hashed, F.col("others"))).otherwise(F.col("others") + F.pmod(hashed, F.greatest("homes", F.lit(1))))
+    dealt = rows.join(cut, ["band", "key"]).select("band", "key", block.cast("int").alias("block"), "class", "node").join(sides, ["band", "key", "block"])
+    dealt = dealt.select("band", "key", "i", "j", (F.col("block") > F.col("i")).cast("int").alias("second"), "class", "node").join(texts, "node")
     return dealt.groupBy("band", "key", "i", "j").applyInArrow(_crossed(idf, like), "a string, b string").distinct()
 
 
@@ -288,21 +306,23 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: float = LIKE) -> DataFrame:
-    """id, class_id (the smallest id of the class), n_links (verified links of its text): one row
-    per row of df.
+    """id, class_id (the smallest id of the class), n_links (the links of its text that were found on
+    the way, which join its class; other links within a class aren't counted): one row per row of df.
 
     Ids are integers. Equal texts share a class, also null with empty ones and texts without words
     if they are equal. Rows that share an id share a class only if their texts are alike: their
-    class is told by row. An empty table gives an empty result; other columns are ignored."""
+    class is told by row. Whole texts are compared, however long. Of samples that tie the first in
+    the order of shingle hashes is taken, of pivots that tie the smallest hash of text. An empty
+    table gives an empty result; other columns, whatever their names, are ignored."""
     raw = own_names(df, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     spark = df.sparkSession
     idf = spark.sparkContext.broadcast(word_weights(raw.select("text")))
     hashed = raw.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
     node = F.concat_ws(".", F.hex("h1"), F.hex("h2")).alias("node")  # 128 bits stand for a text
     # One row per document with its samples; texts stay where they are.
-    signed = checkpointed(hashed.mapInArrow(_signed(idf), "id long, h1 long, h2 long, bands array<long>, sig binary"))
-    kinds = checkpointed(signed.groupBy("h1", "h2").agg(F.min("id").alias("lead"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumn("node", node))
-    in_band = kinds.select("node", "lead", F.posexplode("bands").alias("band", "key"))
+    signed = checkpointed(hashed.mapInArrow(_signed(idf), "id long, h1 long, h2 long, size long, bands array<long>, sig binary"))
+    kinds = checkpointed(signed.groupBy("h1", "h2").agg(F.min("id").alias("lead"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumn("node", node))
+    in_band = kinds.select("node", "lead", "size", F.posexplode("bands").alias("band", "key"))
     several = in_band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key")
     shared = checkpointed(in_band.join(several, ["band", "key"]))
     sigs = kinds.select("node", "sig")
@@ -310,42 +330,34 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked_for = kinds.join(shared.select("node").distinct(), "node").select("h1", "h2", F.col("lead").alias("id"), "node").alias("t")
     own = hashed.alias("d")  # a text whose ids are all null is found by null
     texts = checkpointed(own.join(asked_for, (F.col("d.h1") == F.col("t.h1")) & (F.col("d.h2") == F.col("t.h2")) & F.col("d.id").eqNullSafe(F.col("t.id"))).select("node", "text"))
-    links, classes, seen, turn, ended = None, None, None, 0, False
-    while True:
+    links, classes, seen = None, None, None
+    for turn in range(3):
         placed = shared.withColumn("class", F.col("node")) if classes is None else shared.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        if ended:
-            found = _rest(placed, texts, idf, like)
-            found = None if found is None else checkpointed(found)
-            if found is None or found.isEmpty():
-                break
-        else:
+        found = _rest(placed, texts, idf, like) if turn == 2 else None
+        if turn < 2:
             # The first pivot is the smallest id, mostly what others were copied from; then any.
             placed = placed.withColumn("o", F.xxhash64(F.col("node"), F.lit(turn), F.col("band")) if turn else F.col("lead"))
             several = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("band", "key", "n")
-            if turn > 1:  # all pairs of small buckets have met
-                several = several.filter(f"n > {SMALL}")
             apart = placed.join(several, ["band", "key"])
             slot = F.pmod(F.xxhash64(F.col("node"), F.col("band"), F.lit(~turn)), F.lit(PIVOTS if turn else 1))
-            if turn == 1:
+            if turn:
                 slot = F.when(F.col("n") <= SMALL, F.xxhash64("node")).otherwise(slot)
             pivot = apart.groupBy("band", "key", slot.alias("slot")).agg(F.min(F.struct("o", "node", "class")).alias("p")).select("band", "key", F.col("p.node").alias("a"), F.col("p.class").alias("pc"))
             pairs = apart.join(pivot, ["band", "key"]).filter("class <> pc").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
             if seen is not None:
                 pairs = pairs.join(seen, ["a", "b"], "left_anti")
             asked = checkpointed(_agreeing(pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")))
-            turn += 1
             if not (n := asked.count()):
-                ended = turn > 1
                 continue
-            seen = asked if seen is None else seen.unionByName(asked)
+            seen = asked
             here = texts
             if n <= FEW:  # then the texts that aren't asked for needn't move
                 here = texts.join(F.broadcast(asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
             met = asked.join(here.toDF("b", "tb"), "b").join(here.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-            found = checkpointed(met.mapInArrow(_similar(idf, like), "a string, b string").distinct())
-            if found.isEmpty():
-                ended = turn > 1
-                continue
+            found = met.mapInArrow(_similar(idf, like), "a string, b string").distinct()
+        found = None if found is None else checkpointed(found)
+        if found is None or found.isEmpty():
+            continue
         links = found if links is None else links.unionByName(found)
         if classes is None:
             classes = components(found)
@@ -357,8 +369,6 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             every = classes.unionByName(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti").withColumn("class", F.col("node")))
             classes = checkpointed(every.join(merged, every["class"] == merged["old"], "left").select("node", F.coalesce("new", "class").alias("class")))
         release(spark)
-        if ended:
-            break
     members = signed.select("id", node)
     one = kinds.select("node", "lead")
     if links is None:
