@@ -72,6 +72,14 @@ def own_names(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(df[f"`{old}`"].alias(new) for new, old in columns.items()))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: every output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(32))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, lists, own_names
+from .common import WHITE, lists, own_names, unused
 
 MIN_DOCS = 10
 MIN_POINTS = 1
@@ -61,10 +61,16 @@ def _half(name: str):
     return F.unhex(F.lpad(F.hex(name), 16, "0"))
 
 
+def _row_key(id_col, text):
+    """Tells rows apart, also where ids are null or repeated. Rows that share a key share what they
+    drop, which is harmless: lines of frequent keys, and those go everywhere."""
+    return F.xxhash64(id_col, text)
+
+
 def _hits(texts: DataFrame, min_docs: int) -> DataFrame:
-    """of (an id), drop: the hashes of its lines that stand in `min_docs` documents or more."""
-    kind = texts.schema["id"].dataType.simpleString()
-    keys = texts.mapInArrow(_hashed, f"id {kind}, high array<long>, low array<long>").select("id", F.explode(F.arrays_zip("high", "low")).alias("k")).select("id", "k.high", "k.low")
+    """of (a row's key), drop: the hashes of its lines that stand in `min_docs` documents or more;
+    texts: the keys as id, and text."""
+    keys = texts.mapInArrow(_hashed, "id long, high array<long>, low array<long>").select("id", F.explode(F.arrays_zip("high", "low")).alias("k")).select("id", "k.high", "k.low")
     # A row's keys are distinct already, so counting rows counts documents.
     frequent = keys.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("high", "low")
     return keys.join(frequent, ["high", "low"]).groupBy(F.col("id").alias("of")).agg(F.collect_set(F.concat(_half("high"), _half("low"))).alias("drop"))
@@ -75,17 +81,22 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     A null or empty text has one empty line, and lines of an empty key are never dropped. A line
     repeated inside one row counts once. Each row is a document: rows that share an id, or whose id
-    is null, count one by one. An empty table gives an empty result; other columns are ignored."""
-    texts = own_names(df, id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary"))
+    is null, count one by one. A line of just min_docs documents goes. Whole texts are cut, however
+    long. An empty table gives an empty result; other columns are ignored."""
+    texts = own_names(df, id=id_col, text=text_col).select("id", _row_key("id", "text").alias("row"), F.col("text").cast("binary").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.join(_hits(texts, min_docs), F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "drop").mapInArrow(_kept, f"id {kind}, n_lines long, n_dropped long, kept binary")
+    hits = _hits(texts.select(F.col("row").alias("id"), "text"), min_docs)
+    return texts.join(hits, F.col("row") == F.col("of"), "left").select("id", "text", "drop").mapInArrow(_kept, f"id {kind}, n_lines long, n_dropped long, kept binary")
 
 
 def dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """df with the kept lines for text: all its rows (one that loses every line has an empty text)
-    and all its columns. A null text stays null."""
-    texts = own_names(df, id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary"))
-    hits = _hits(texts, min_docs).withColumnsRenamed({"of": "__of", "drop": "__drop"})
+    and all its columns, whatever their names. A null text stays null, and an empty one empty. Rows
+    that share an id, or have none, are documents of their own. Lines of just min_docs documents go.
+    Whole texts are cut, however long. An empty table gives an empty one."""
+    texts = own_names(df, id=id_col, text=text_col).select(_row_key("id", "text").alias("id"), F.col("text").cast("binary").alias("text"))
+    of, drop = unused(df, "of"), unused(df, "drop")
+    hits = _hits(texts, min_docs).withColumnsRenamed({"of": of, "drop": drop})
     at = df.columns.index(text_col)
 
     def run(batches):
@@ -105,7 +116,7 @@ def dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             yield pa.RecordBatch.from_arrays(columns, names=df_columns)
 
     df_columns = df.columns
-    return df.join(hits, df[f"`{id_col}`"].eqNullSafe(hits["__of"]), "left").select(*(df[f"`{c}`"] for c in df_columns), "__drop").mapInArrow(run, df.schema)
+    return df.join(hits, _row_key(df[f"`{id_col}`"], df[f"`{text_col}`"]) == hits[of], "left").select(*(df[f"`{c}`"] for c in df_columns), drop).mapInArrow(run, df.schema)
 
 
 def digest(kept: DataFrame) -> DataFrame:

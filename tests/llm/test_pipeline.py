@@ -56,3 +56,50 @@ def test_stages_with_null_and_repeated_ids(spark):
     mixed = p.mix_sources(spark, same, SF).collect()
     assert len(mixed) == 18 and sum(r.doc_id is None for r in mixed) in range(11, 14)
     assert all(n <= 2 for n in collections.Counter(r.text for r in mixed if r.doc_id is None).values())
+
+
+NAMES = ("drop", "of", "row", "hash", "key", "times", "copy", "id", "class", "class_id", "size", "__row", "__hash", "__key", "__drop")
+
+
+def test_each_stage_on_odd_rows(spark):
+    """Null and repeated ids, repeated rows, null and empty texts, clashing names; and no rows."""
+    import corpus_pipeline as p
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(k, text(k), "ab"[k % 2], 7) for k in range(12)]
+    rows += [(None, text(20 + k), None, 7) for k in range(6)]
+    rows += [(3, text(3), "b", 7), (3, text(40), "a", 7), (None, None, "a", 7), (50, "", "b", 7), (51, None, None, 7)]
+    rows = [(*r, *["clash"] * len(NAMES)) for r in rows]
+    schema = "doc_id long, text string, source string, n_chars int, " + ", ".join(f"`{n}` string" for n in NAMES)
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    count = lambda df: collections.Counter((r.doc_id, r.text, r.source) for r in df.select("doc_id", "text", "source").collect())
+    given = collections.Counter(r[:3] for r in rows)
+    for name, stage in p.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        got = count(out)
+        if name == "line dedup":
+            assert got == given
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
+        elif name == "minhash near-dedup":
+            # null and empty texts are one class, of the smallest id that isn't null
+            assert got == collections.Counter([r[:3] for r in rows[:18]] + [(3, text(40), "a"), (50, "", "b")])
+        elif name == "source mix":
+            assert set(got) <= set(given) and all(r[1] for r in got)
+            assert all(n <= 2 * given[r] for r, n in got.items())
+            assert abs(sum(got.values()) - 30) <= 3  # 20 rows of 40 words, taken 1.5 times
+        else:
+            assert not got - given
+    assert p.encode(spark, docs, SF).count() == len(rows)
+    assert p.encode(spark, docs.limit(0), SF).count() == 0
+
+
+def test_frequent_lines_go_from_rows_of_any_id(spark):
+    import corpus_pipeline as p
+
+    rows = [(None if k % 3 else 4, f"own line {k}\nShared", None, 1, "x") for k in range(10)]
+    out = p.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, __drop string"), SF).collect()
+    assert sorted(r.text for r in out) == [f"own line {k}" for k in range(10)]
+    out = p.line_dedup(spark, spark.createDataFrame(rows[:9], "doc_id long, text string, source string, n_chars int, __drop string"), SF).collect()
+    assert all("Shared" in r.text for r in out)
