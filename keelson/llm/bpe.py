@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_names
+from .common import lean, own_names
 
 #: Bytes of encoded parts that a worker remembers at most.
 MEMORY = 32 << 20
@@ -394,7 +394,7 @@ def encode_table(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    return texts.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return texts.mapInArrow(lean(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def digest(encoded: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ packed integer columns, and exact global prefix sums over an ordered table."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 WHITE = b" \t\n\x0b\x0c\r"
 #: Text bytes that one vectorised step works on at most (a longer text is a step of its own).
 STEP_BYTES = 1 << 20
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1024
 
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[list(WHITE)] = True
@@ -60,7 +63,11 @@ def parts(df: DataFrame) -> int:
 
 
 def importable(spark: SparkSession) -> None:
-    """Python workers look for this package where the driver found it, unless it is installed there."""
+    """Python workers look for this package where the driver found it, unless it is installed there,
+    and get whole texts in smaller batches than is usual for rows."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
@@ -174,6 +181,25 @@ def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]
         yield begin, len(sizes)
 
 
+def lean(run):
+    """A worker's function over batches that gives what it no longer needs back to the system at its
+    end: workers live on and serve other operators."""
+
+    def runs(batches):
+        yield from run(batches)
+        trim()
+
+    return runs
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def packed(*columns: np.ndarray) -> bytes:
     """Columns of equal length, one after another, as bytes."""
     return b"".join(np.ascontiguousarray(x).tobytes() for x in columns)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, Words, importable, mix64, own_names, span_hashes, steps, text_buffer, window_hashes
+from .common import STEP_BYTES, Words, importable, lean, mix64, own_names, span_hashes, steps, text_buffer, window_hashes
 
 #: Labelled rows that a model learns from at most: those of the smallest hash of their id.
 MOST_ROWS = 20_000
@@ -221,7 +221,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = own_names(df, id=id_col, text=text_col)
     chosen = own_names(labels, id=label_id, y=label_col).filter(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out()).orderBy(F.xxhash64("id"), "id", "y").limit(most)
     known = texts.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")
-    rows = known.mapInArrow(_measured, f"id {texts.schema['id'].dataType.simpleString()}, x array<double>").join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "x").limit(most).select("x", "y").collect()
+    rows = known.mapInArrow(lean(_measured), f"id {texts.schema['id'].dataType.simpleString()}, x array<double>").join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "x").limit(most).select("x", "y").collect()
     return fit(np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([float(r["y"]) for r in rows]))
 
 
@@ -238,7 +238,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(measure(part.column(1).cast(pa.binary()))))], names=["id", "score"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, score double")
+    return texts.mapInArrow(lean(run), f"id {texts.schema['id'].dataType.simpleString()}, score double")
 
 
 def keep(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -252,7 +252,7 @@ def keep(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(model.score(measure(part.column(at).cast(pa.binary()))) >= 0.5))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def digest(scored: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, lists, own_names, unused
+from .common import WHITE, lean, lists, own_names, unused
 
 MIN_DOCS = 10
 MIN_POINTS = 1
@@ -70,7 +70,7 @@ def _row_key(id_col, text):
 def _hits(texts: DataFrame, min_docs: int) -> DataFrame:
     """of (a row's key), drop: the hashes of its lines that stand in `min_docs` documents or more;
     texts: the keys as id, and text."""
-    keys = texts.mapInArrow(_hashed, "id long, high array<long>, low array<long>").select("id", F.explode(F.arrays_zip("high", "low")).alias("k")).select("id", "k.high", "k.low")
+    keys = texts.mapInArrow(lean(_hashed), "id long, high array<long>, low array<long>").select("id", F.explode(F.arrays_zip("high", "low")).alias("k")).select("id", "k.high", "k.low")
     # A row's keys are distinct already, so counting rows counts documents.
     frequent = keys.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("high", "low")
     return keys.join(frequent, ["high", "low"]).groupBy(F.col("id").alias("of")).agg(F.collect_set(F.concat(_half("high"), _half("low"))).alias("drop"))
@@ -86,7 +86,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     texts = own_names(df, id=id_col, text=text_col).select("id", _row_key("id", "text").alias("row"), F.col("text").cast("binary").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     hits = _hits(texts.select(F.col("row").alias("id"), "text"), min_docs)
-    return texts.join(hits, F.col("row") == F.col("of"), "left").select("id", "text", "drop").mapInArrow(_kept, f"id {kind}, n_lines long, n_dropped long, kept binary")
+    return texts.join(hits, F.col("row") == F.col("of"), "left").select("id", "text", "drop").mapInArrow(lean(_kept), f"id {kind}, n_lines long, n_dropped long, kept binary")
 
 
 def dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -116,7 +116,7 @@ def dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             yield pa.RecordBatch.from_arrays(columns, names=df_columns)
 
     df_columns = df.columns
-    return df.join(hits, _row_key(df[f"`{id_col}`"], df[f"`{text_col}`"]) == hits[of], "left").select(*(df[f"`{c}`"] for c in df_columns), drop).mapInArrow(run, df.schema)
+    return df.join(hits, _row_key(df[f"`{id_col}`"], df[f"`{text_col}`"]) == hits[of], "left").select(*(df[f"`{c}`"] for c in df_columns), drop).mapInArrow(lean(run), df.schema)
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, mix64, own_names, packed, release, steps, text_buffer, unpacked, window_hashes
+from .common import Words, checkpointed, lean, mix64, own_names, packed, release, steps, text_buffer, trim, unpacked, window_hashes
 from .components import components
 
 SHINGLE = 5
@@ -40,6 +40,7 @@ SMALL = 8
 BLOCK, BESIDES = 1 << 21, 1 << 10
 #: Texts of a block whose similarities with another block's are worked out at once.
 _SIDE = 512
+_PAIRS = 1 << 18
 #: Pairs whose ends (twice as many, 16 bytes each) may be broadcast.
 FEW = 50_000
 CELL_BITS = 20
@@ -86,7 +87,7 @@ def word_weights(texts: DataFrame) -> np.ndarray:
     1 + ln((1 + documents) / (1 + those with it)).
 
     4 MB whatever the corpus: partitions send sparse counts, 65 groups add them up."""
-    rows = {r[0]: r[1] for r in texts.mapInArrow(_cells, "block int, data binary").groupBy("block").applyInArrow(_summed, "block int, data binary").collect()}
+    rows = {r[0]: r[1] for r in texts.mapInArrow(lean(_cells), "block int, data binary").groupBy("block").applyInArrow(_summed, "block int, data binary").collect()}
     total = np.zeros(1 << CELL_BITS, np.int64)
     size = (1 << CELL_BITS) // _BLOCKS
     for k, data in rows.items():
@@ -222,13 +223,16 @@ def _sums_of_least(a: tuple, b: tuple, shape: tuple[int, int]) -> np.ndarray:
         i, j = slice(a0[k], a1[k]), slice(b0[k], b1[k])
         out[np.ix_(ta[i], tb[j])] += np.minimum.outer(wa[i], wb[j])
     few = np.flatnonzero(na * nb <= 256)
-    for k in range(0, len(few), 1 << 14):
-        part = few[k : k + (1 << 14)]
-        n = na[part] * nb[part]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        wide = np.repeat(nb[part], n)
-        i, j = np.repeat(a0[part], n) + at // wide, np.repeat(b0[part], n) + at % wide
-        out += np.bincount(ta[i] * shape[1] + tb[j], np.minimum(wa[i], wb[j]), shape[0] * shape[1]).reshape(shape)
+    n = (na * nb)[few]
+    if not len(few):
+        return out
+    cuts = np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()), _PAIRS))  # some _PAIRS pairs at a time
+    for i, j in zip(cuts, [*cuts[1:], len(few)], strict=True):
+        part, m = few[i:j], n[i:j]
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        wide = np.repeat(nb[part], m)
+        k, q = np.repeat(a0[part], m) + at // wide, np.repeat(b0[part], m) + at % wide
+        out += np.bincount(ta[k] * shape[1] + tb[q], np.minimum(wa[k], wb[q]), shape[0] * shape[1]).reshape(shape)
     return out
 
 
@@ -262,6 +266,7 @@ def _crossed(idf, like: float):
                     ends.setdefault((min(ca[i], cb[j]), max(ca[i], cb[j])), (k + i, m + j))
         one, two = left.column("node"), right.column("node")
         links = [sorted((one[i].as_py(), two[j].as_py())) for i, j in ends.values()]
+        trim()
         return pa.table({"a": pa.array([e[0] for e in links], pa.string()), "b": pa.array([e[1] for e in links], pa.string())})
 
     return run
@@ -320,7 +325,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = raw.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
     node = F.concat_ws(".", F.hex("h1"), F.hex("h2")).alias("node")  # 128 bits stand for a text
     # One row per document with its samples; texts stay where they are.
-    signed = checkpointed(hashed.mapInArrow(_signed(idf), "id long, h1 long, h2 long, size long, bands array<long>, sig binary"))
+    signed = checkpointed(hashed.mapInArrow(lean(_signed(idf)), "id long, h1 long, h2 long, size long, bands array<long>, sig binary"))
     kinds = checkpointed(signed.groupBy("h1", "h2").agg(F.min("id").alias("lead"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumn("node", node))
     in_band = kinds.select("node", "lead", "size", F.posexplode("bands").alias("band", "key"))
     several = in_band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key")
@@ -354,7 +359,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if n <= FEW:  # then the texts that aren't asked for needn't move
                 here = texts.join(F.broadcast(asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
             met = asked.join(here.toDF("b", "tb"), "b").join(here.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-            found = met.mapInArrow(_similar(idf, like), "a string, b string").distinct()
+            found = met.mapInArrow(lean(_similar(idf, like)), "a string, b string").distinct()
         found = None if found is None else checkpointed(found)
         if found is None or found.isEmpty():
             continue
