@@ -1,9 +1,12 @@
 """Quality rules by weak supervision, in DataFrame operations only.
 
 Each rule votes good (1), bad (-1) or abstains (0). Votes are counted by pattern, at most 3 to the
-number of rules, and expectation-maximisation over those counts estimates each rule's accuracy in
-both classes and the share of good texts. A text's posterior of being good then decides, not a
-demand that every rule pass. The measures are made once and kept in the checkpoint folder: the
+number of rules, and expectation-maximisation over those counts estimates how often each rule votes
+what in good and in bad texts, its accuracies, and the share of good texts. It starts from how many
+rules object to a text, the same for all rules, and nothing holds an estimate. Most faults
+are seen by two rules that measure different things: that they agree is what tells a fault from a
+kind of good text. A text's posterior of being good then decides, not a demand that every rule pass.
+The measures are made once and kept in the checkpoint folder: the
 patterns are counted from them and the verdicts drawn from them."""
 
 from __future__ import annotations
@@ -19,13 +22,10 @@ _WHITE = " \t\n\x0b\x0c\r"
 _GAP = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 ROUNDS = 200
-#: EM starts from these shares of good (bad) votes in good and in bad texts. What matters of them is
-#: their ratio by vote; abstentions say nothing of the class.
-START = {"good": (0.9, 0.002), "bad": (0.6, 0.3)}
-PRIOR = 0.85
-#: A rule's bad votes on good texts are held to be this rare at most. Rules are made to fire on faults;
-#: without the bound EM may call a common fault a kind of good text.
-FALSE_ALARMS = 0.002
+#: EM starts from these probabilities of being good, by the number of bad votes: none, one, more.
+START = (0.95, 0.5, 0.05)
+#: EM ends when the share of good texts moves by less.
+STILL = 1e-9
 
 
 def words_of(text: Column) -> Column:
@@ -49,15 +49,18 @@ def base_measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         size_of(r"[^#*$%&|<>]+").cast("long").alias("n_symbols"),
         size_of(r"[^A-ZÀ-ÖØ-Þ]+").cast("long").alias("n_upper"),
         size_of(r"[^!]+").cast("long").alias("n_bang"),
+        size_of(r"\P{L}+").cast("long").alias("n_letters"),
     )
     t = t.select(
-        *("id", "word_chars", "n_symbols", "n_upper", "n_bang"),
+        *("id", "word_chars", "n_symbols", "n_upper", "n_bang", "n_letters"),
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda x: F.xxhash64(x)).alias("codes"),
     )
     rest = [c for c in t.columns if c != "codes"]
+    t = t.select(*rest, F.size(F.array_distinct("codes")).cast("long").alias("n_distinct"), "codes")
+    rest = [c for c in t.columns if c != "codes"]
     t = t.select(*rest, F.when(F.size("codes") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("codes") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("codes", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")).alias("windows"))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
     t = t.select(*rest, F.when(F.size(F.array_distinct("windows")) == F.size("windows"), none).otherwise(F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("sorted"))
@@ -80,49 +83,44 @@ def votes() -> dict[str, Column]:
         "lines": rule(F.col("n_dup_lines") * 5 > F.col("n_lines") * 2, F.col("n_dup_lines") == 0),
         "capitals": rule(F.col("n_upper") * 3 > F.col("word_chars"), F.col("n_upper") * 5 <= F.col("word_chars")),
         "shouts": rule(F.col("n_bang") * 2 > n, F.col("n_bang") * 20 <= n),
-        "letters": rule((F.col("word_chars") < n * 2) | (F.col("word_chars") > n * 20), F.col("word_chars").between(n * 3, n * 12)),
+        "lengths": rule((F.col("word_chars") < n * 2) | (F.col("word_chars") > n * 20), F.col("word_chars").between(n * 3, n * 12)),
+        # what the others measure by signs and windows, by letters and by different words
+        "letters": rule(F.col("n_letters") * 10 < F.col("word_chars") * 9, F.col("n_letters") * 50 >= F.col("word_chars") * 47),
+        "variety": rule((n >= 50) & (F.col("n_distinct") * F.col("n_distinct") < n * 16), F.col("n_distinct") * F.col("n_distinct") >= n * 36),
     }
 
 
 def estimate(counts: dict[tuple[int, ...], int]) -> tuple[float, list[tuple[dict[int, float], dict[int, float]]]]:
     """EM over vote patterns: the share of good texts, and for each rule the probabilities of its
-    votes, where it votes, in good and in bad texts: its accuracies. Estimates are smoothed by one
-    imaginary text a vote."""
+    votes in good and in bad texts. Estimates are smoothed by one imaginary text a vote; without
+    texts all are even."""
     k = len(next(iter(counts), ()))
-    start = lambda x: {1: x[0] / sum(x), -1: x[1] / sum(x), 0: 1.0}
-    share, table = PRIOR, [(start(START["good"]), start(START["bad"])) for _ in range(k)]
-    if not counts:
-        return share, table
+    soft = {p: START[min(p.count(-1), 2)] for p in counts}
+    total, share, table = sum(counts.values()), 0.5, [({1: 1 / 3, 0: 1 / 3, -1: 1 / 3},) * 2] * k
     for _ in range(ROUNDS):
-        soft = {}
-        for p in counts:
-            odds = math.log(share / (1 - share)) + sum(math.log(g[v] / b[v]) for v, (g, b) in zip(p, table, strict=True))
-            soft[p] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-        good = sum(n * soft[p] for p, n in counts.items())
-        total = sum(counts.values())
-        fresh = []
-        for j in range(k):
-            of = lambda v, w: sum(n * w(p) for p, n in counts.items() if p[j] == v)  # noqa: B023, E731
-            two = []
-            for w in (lambda p: soft[p], lambda p: 1 - soft[p]):
-                yes, no = of(1, w) + 1, of(-1, w) + 1
-                two.append({1: yes / (yes + no), -1: no / (yes + no), 0: 1.0})
-            if two[0][-1] > FALSE_ALARMS:
-                two[0] = {1: 1 - FALSE_ALARMS, -1: FALSE_ALARMS, 0: 1.0}
-            fresh.append(tuple(two))
-        new = min(max((good + 1) / (total + 2), 1e-6), 1 - 1e-6)
-        done = abs(new - share) < 1e-9
-        share, table = new, fresh
-        if done:
+        old, sides = share, (soft, {p: 1 - x for p, x in soft.items()})
+        good = [sum(n * side[p] for p, n in counts.items()) for side in sides]
+        share = (good[0] + 1) / (total + 2)
+        of = lambda j, v, side: sum(n * side[p] for p, n in counts.items() if p[j] == v)
+        table = [tuple({v: (of(j, v, side) + 1) / (m + 3) for v in (1, 0, -1)} for side, m in zip(sides, good, strict=True)) for j in range(k)]
+        soft = {p: posterior(share, table, p) for p in counts}
+        if abs(share - old) < STILL:
             break
     return share, table
 
 
+def posterior(share: float, table: list[tuple[dict[int, float], dict[int, float]]], pattern: tuple[int, ...]) -> float:
+    """The probability that a text of these votes is good."""
+    odds = math.log(share / (1 - share)) + sum(math.log(g[v] / b[v]) for v, (g, b) in zip(pattern, table, strict=True))
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+
+
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, the base measures, each rule's vote, posterior, base_failed, kept.
 
-    Null and empty texts have no words and fail the base. Rows of equal ids stay apart; repeated
-    texts get equal verdicts; other columns are ignored. An empty table gives an empty result."""
+    Null and empty texts have no words and fail the base. Whole texts are measured, however long.
+    Rows of null or equal ids stay apart; repeated texts get equal verdicts; a posterior of just 0.5
+    is kept. An empty table gives an empty result; other columns, whatever their names, are ignored."""
     rules = votes()
     n = F.col("n_words")
     measured = checkpointed(base_measures(df, id_col, text_col).select("*", *(v.alias(f"vote_{k}") for k, v in rules.items())).withColumn("base_failed", (n < 20) | (F.col("n_repeat_words") * 100 > n * 30)))
@@ -130,7 +128,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counted = measured.groupBy(*names).count().limit(3 ** len(names)).collect()  # all patterns there can be
     share, table = estimate({tuple(r[x] for x in names): r["count"] for r in counted})
     odds = F.lit(math.log(share / (1 - share)))
-    for name, (g, b) in zip(names, table, strict=bool(table)):
+    for name, (g, b) in zip(names, table, strict=bool(counted)):
         step = {v: math.log(g[v] / b[v]) for v in (1, -1, 0)}
         odds = odds + F.when(F.col(name) == 1, step[1]).when(F.col(name) == -1, step[-1]).otherwise(step[0])
     judged = measured.withColumn("posterior", 1 / (1 + F.exp(-odds)))
