@@ -408,6 +408,7 @@ def test_crowded_buckets_stay_linear():
     code = np.full(n, 5 << media.MORE_BITS, np.uint64)
     pairs, votes = media.meetings(np.arange(n), code)
     assert len(pairs) <= 2 * media.NEXT * n and votes.max() <= 2
-    pairs, _ = media.meetings(np.arange(n), code + np.arange(n, dtype=np.uint64) % np.uint64(40))
-    same = {(a, b) for a in range(n) for b in range(a + 1, n) if a % 40 == b % 40}
+    kinds = n // (media.FULL - 1)
+    pairs, _ = media.meetings(np.arange(n), code + np.arange(n, dtype=np.uint64) % np.uint64(kinds))
+    same = {(a, b) for a in range(n) for b in range(a + 1, n) if a % kinds == b % kinds}
     assert same <= {(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in pairs}
