@@ -1,4 +1,4 @@
-"""Cutting lineage in loops, in a folder that all executors share."""
+"""Cutting lineage in loops, in a folder that all executors share (a temporary one in local runs only)."""
 
 from __future__ import annotations
 
@@ -10,5 +10,8 @@ from pyspark.sql import DataFrame
 def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keelson-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="keelson-"))
     return df.checkpoint()

@@ -16,6 +16,10 @@ from .preference import flagged
 from .windows import at_instants, windowed
 
 
+#: A set of rules is the bits of a long.
+MOST_RULES = 62
+
+
 def sequences(stream: DataFrame, identifier: list[str], attributes: list[str], size: int | None, slide: int, last: int) -> DataFrame:
     """SEQ. Of several tuples of an identifier at one instant the last by `_ORD` counts."""
     others = [a for a in attributes if a not in identifier]
@@ -68,6 +72,13 @@ class TemporalTheory:
             for p in r.condition:
                 if p.past and p.past != "FIRST" and p.name not in names:
                     raise LanguageError(f"unknown attribute {p.name}")
+        if len(rules) > MOST_RULES:
+            raise LanguageError(f"more than {MOST_RULES} temporal rules")
+        # Where the past of one rule holds, so do those of the rules that ask for no more: together
+        # they must be consistent, whatever the data.
+        pasts = [frozenset(p for p in r.condition if p.past) for r in rules]
+        for past in set(pasts):
+            Theory([r for r, other in zip(rules, pasts, strict=True) if other <= past], names)
 
     def allowed(self, r: Rule, past: Column) -> Column:
         """Whether the past allows a rule. What it says of an attribute last counts; all that SOME
@@ -126,7 +137,7 @@ def judged(df: DataFrame, rules: tuple[Rule, ...], identifier: list[str], attrib
     at = df.select(*quoted, plain.alias("_plain")).select(*quoted, "_plain", F.posexplode("_plain").alias("_p", "_item"))
     at = at.select(*quoted, F.expr("slice(_plain, 1, _p)").alias("_past"), *(F.col("_item").getField(a).alias(f"@{a}") for a in others))
     at = checkpointed(at.withColumn("_mask", theory.mask(F.col("_past"))))
-    masks = [r[0] for r in at.filter("_mask <> 0").select("_mask").distinct().limit(1 << min(len(rules), 20)).collect()]
+    masks = [r[0] for r in at.filter("_mask <> 0").select("_mask").distinct().collect()]  # sets of rules; their number depends on the pasts that rules tell apart
     if not masks:
         return df.withColumn("_beaten", F.lit(False))
     renamed = at.filter("_mask <> 0").withColumnsRenamed({k: f"#{k}" for k in identifier}).withColumnsRenamed({f"@{a}": a for a in others})

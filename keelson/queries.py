@@ -47,9 +47,8 @@ def _stream(spark: SparkSession, sf_dir: str, seconds: int = 3600, last: int = H
 
 def _talks(spark: SparkSession, sf_dir: str) -> Session:
     s = Session(spark, TURNS)
-    rows = _read(spark, sf_dir, "conversations").select(F.col("turn").alias("_TS"), "conv_id", "role", F.when(F.length("text") > 400, "long").when(F.length("text") > 150, "middle").otherwise("short").alias("size"))
-    # a missing turn now and then, so that runs of turns end
-    rows = rows.filter((F.col("conv_id") + F.col("_TS")) % 7 != 3)
+    # every third turn waits for an instant, so that runs of turns end
+    rows = _read(spark, sf_dir, "conversations").select((F.col("turn") + F.floor(F.col("turn") / 3)).alias("_TS"), "conv_id", "role", F.when(F.length("text") > 400, "long").when(F.length("text") > 150, "middle").otherwise("short").alias("size"))
     s.register_stream("talk", rows, ["conv_id", "role", "size"], order="_TS")
     return s
 
@@ -99,11 +98,11 @@ _add(
 )
 _add(
     *("filter_and", _relations, "SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND p_size < 20 AND NOT p_brand = 'Brand#1' AND p_type <> 'PROMO';"),
-    f"""SELECT {_ZERO}, p_partkey AS "P_PARTKEY", p_size AS "P_SIZE" FROM part WHERE p_size >= 10 AND p_size < 20 AND p_brand <> 'Brand#1' AND p_type <> 'PROMO'""",
+    f"""SELECT {_ZERO}, p_partkey AS "P_PARTKEY", CAST(p_size AS BIGINT) AS "P_SIZE" FROM part WHERE p_size >= 10 AND p_size < 20 AND p_brand <> 'Brand#1' AND p_type <> 'PROMO'""",
 )
 _add(
     *("filter_or_not", _relations, "SELECT p_partkey, p_size FROM part WHERE p_size = 1 OR NOT p_size < 45 OR p_size * 2 = p_size + 7;"),
-    f"""SELECT {_ZERO}, p_partkey AS "P_PARTKEY", p_size AS "P_SIZE" FROM part WHERE p_size = 1 OR p_size >= 45 OR p_size = 7""",
+    f"""SELECT {_ZERO}, p_partkey AS "P_PARTKEY", CAST(p_size AS BIGINT) AS "P_SIZE" FROM part WHERE p_size = 1 OR p_size >= 45 OR p_size = 7""",
 )
 _add(
     *("join_equi_3way", _relations, "SELECT c.c_custkey, n.n_name, r.r_name FROM customer AS c, nation AS n, region AS r WHERE c.c_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey;"),
@@ -192,9 +191,15 @@ _add(
 )
 _add("distinct", _hour, "SELECT DISTINCT user_id, event_type FROM ev[RANGE 3 SECOND];", f'WITH {_EV}, {_TL} SELECT DISTINCT tl.t AS "_TS", user_id AS "USER_ID", event_type AS "EVENT_TYPE" FROM tl JOIN ev ON tl.t BETWEEN ev.t AND ev.t + 2')
 
+_add("union_int_widths", _relations, "SELECT p_size AS n FROM part UNION SELECT p_partkey AS n FROM part;", f'SELECT {_ZERO}, CAST(p_size AS BIGINT) AS "N" FROM part UNION ALL SELECT {_ZERO}, CAST(p_partkey AS BIGINT) FROM part')
+_add(
+    *("arith_large", _relations, "SELECT p_partkey, p_size * p_size * p_size * p_size * p_size * p_size AS n FROM part;"),
+    f'SELECT {_ZERO}, p_partkey AS "P_PARTKEY", CAST(p_size AS BIGINT) * p_size * p_size * p_size * p_size * p_size AS "N" FROM part',
+)
+
 # -- tuple preferences -----------------------------------------------------------------------
 _PART = "SELECT p_partkey, p_brand, p_type, p_size FROM part"
-_PSQL = f'SELECT {_ZERO}, p_partkey AS "P_PARTKEY", p_brand AS "P_BRAND", p_type AS "P_TYPE", p_size AS "P_SIZE" FROM part r'
+_PSQL = f'SELECT {_ZERO}, p_partkey AS "P_PARTKEY", p_brand AS "P_BRAND", p_type AS "P_TYPE", CAST(p_size AS BIGINT) AS "P_SIZE" FROM part r'
 
 
 def _beats(*pairs: tuple[str, str, str]) -> str:
@@ -239,7 +244,7 @@ AND (x.event_type = 'purchase' AND r.event_type IN ('view', 'error') OR x.event_
 _add(
     *("topk_pref", _relations, f"SELECT TOP(900) p_partkey, p_brand, p_type, p_size FROM part PREFERENCES p_type = 'PROMO' BETTER p_type = 'LARGE' [{_ANY}, p_size, p_brand] AND p_type = 'LARGE' BETTER p_type = 'SMALL' [{_ANY}, p_size, p_brand];"),
     f"""WITH r AS (SELECT *, CASE p_type WHEN 'LARGE' THEN 1 WHEN 'SMALL' THEN 2 ELSE 0 END AS level FROM part),
-k AS (SELECT *, row_number() OVER (ORDER BY level, p_partkey) AS place FROM r) SELECT {_ZERO}, p_partkey AS "P_PARTKEY", p_brand AS "P_BRAND", p_type AS "P_TYPE", p_size AS "P_SIZE" FROM k WHERE place <= 900""",
+k AS (SELECT *, row_number() OVER (ORDER BY level, p_partkey) AS place FROM r) SELECT {_ZERO}, p_partkey AS "P_PARTKEY", p_brand AS "P_BRAND", p_type AS "P_TYPE", CAST(p_size AS BIGINT) AS "P_SIZE" FROM k WHERE place <= 900""",
 )
 
 # -- sequences ---------------------------------------------------------------------------------
@@ -248,7 +253,7 @@ s AS (SELECT tl.t AS inst, one.t, user_id, event_type, cents, row_number() OVER
 _POS = 'inst AS "_TS", CAST(pos AS INTEGER) AS "_POS"'
 _add("seq", _hour, "SELECT SEQUENCE IDENTIFIED BY user_id [RANGE 6 SECOND] FROM ev;", f'{_SEQ.format("one.t + 5")} SELECT {_POS}, user_id AS "USER_ID", event_type AS "EVENT_TYPE", cents AS "CENTS" FROM s')
 _add("seq_slide", _hour, "SELECT SEQUENCE IDENTIFIED BY user_id [RANGE 6 SECOND, SLIDE 4 SECOND] FROM ev;", f'{_SEQ.format("(one.t // 4) * 4 + 5")} SELECT {_POS}, user_id AS "USER_ID", event_type AS "EVENT_TYPE", cents AS "CENTS" FROM s')
-_TALK = """WITH talk AS (SELECT conv_id, turn AS t, role, CASE WHEN length(text) > 400 THEN 'long' WHEN length(text) > 150 THEN 'middle' ELSE 'short' END AS size FROM conversations WHERE (conv_id + turn) % 7 <> 3),
+_TALK = """WITH talk AS (SELECT conv_id, turn + turn // 3 AS t, role, CASE WHEN length(text) > 400 THEN 'long' WHEN length(text) > 150 THEN 'middle' ELSE 'short' END AS size FROM conversations),
 tl AS (SELECT unnest(range(0, 64)) AS t), w AS (SELECT tl.t AS inst, talk.* FROM tl JOIN talk ON tl.t BETWEEN talk.t AND talk.t + 4)"""
 _RUNS = f"{_TALK}, c AS (SELECT *, t - row_number() OVER (PARTITION BY inst, conv_id ORDER BY t) AS run FROM w), s AS (SELECT *, row_number() OVER (PARTITION BY inst, conv_id, run ORDER BY t) AS pos FROM c)"
 _WHOLE = f"{_TALK}, s AS (SELECT *, 0 AS run, row_number() OVER (PARTITION BY inst, conv_id ORDER BY t) AS pos FROM w)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lang import ast
@@ -41,24 +41,31 @@ class Session:
             raise LanguageError(f"attributes named twice: {', '.join(sorted(twice))}")
         return names
 
+    @staticmethod
+    def _typed(df: DataFrame, attribute: str, name: str) -> Column:
+        """A column in the language's types: INTEGER is a long, FLOAT a double, whatever their width."""
+        wide = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "float": "double"}
+        c, kind = F.col(f"`{attribute}`"), dict(df.dtypes)[attribute]
+        return (c.cast(wide[kind]) if kind in wide else c).alias(name)
+
     def register_stream(self, name: str, df: DataFrame, attributes: list[str], ts: str = "_TS", order: str | None = None) -> None:
         """An append-only stream: instants in `ts`; `order` tells which of two tuples came later."""
         names, ord_ = self._attributes(attributes), F.col(f"`{order}`") if order else F.monotonically_increasing_id()
-        rows = df.select(F.col(f"`{ts}`").cast("long").alias("_TS"), *(F.col(f"`{a}`").alias(n) for a, n in zip(attributes, names, strict=True)), ord_.alias("_ORD"))
+        rows = df.select(F.col(f"`{ts}`").cast("long").alias("_TS"), *(self._typed(df, a, n) for a, n in zip(attributes, names, strict=True)), ord_.alias("_ORD"))
         name = self._new(name)
         self.leaves[name] = Leaf(name, "STREAM", names, rows)
 
     def register_table(self, name: str, df: DataFrame, attributes: list[str], ts: str = "_TS", flag: str = "_FL", order: str | None = None) -> None:
         """A table by its log of insertions and deletions."""
         names, ord_ = self._attributes(attributes), F.col(f"`{order}`") if order else F.monotonically_increasing_id()
-        log = df.select(F.col(f"`{ts}`").cast("long").alias("_TS"), F.col(f"`{flag}`").alias("_FL"), *(F.col(f"`{a}`").alias(n) for a, n in zip(attributes, names, strict=True)), ord_.alias("_ORD"))
+        log = df.select(F.col(f"`{ts}`").cast("long").alias("_TS"), F.col(f"`{flag}`").alias("_FL"), *(self._typed(df, a, n) for a, n in zip(attributes, names, strict=True)), ord_.alias("_ORD"))
         name = self._new(name)
         self.leaves[name] = Leaf(name, "TABLE", names, windows.changelog(log, names))
 
     def register_relation(self, name: str, df: DataFrame, attributes: list[str]) -> None:
         """A table whose rows are there at every instant."""
         names = self._attributes(attributes)
-        rows = df.select(*(F.col(f"`{a}`").alias(n) for a, n in zip(attributes, names, strict=True)), F.lit(0).cast("long").alias("_vfrom"), F.lit(None).cast("long").alias("_vto"))
+        rows = df.select(*(self._typed(df, a, n) for a, n in zip(attributes, names, strict=True)), F.lit(0).cast("long").alias("_vfrom"), F.lit(None).cast("long").alias("_vto"))
         name = self._new(name)
         self.leaves[name] = Leaf(name, "TABLE", names, rows)
 

@@ -97,3 +97,30 @@ def test_continuous_equals_batch(spark, tmp_path, text):
     s = Session(spark, 8)
     s.register_stream("s", df, ["A", "B"], order="_ORD")
     assert sorted(got) == rows(s.query(text))
+
+
+def test_integers_of_any_width_are_longs(spark):
+    from keelson.session import Session
+
+    s = Session(spark, 0)
+    s.register_relation("a", spark.createDataFrame([(2_000_000_000, 1.5)], "x int, f float"), ["x", "f"])
+    s.register_relation("b", spark.createDataFrame([(5, 2.5)], "y long, g double"), ["y", "g"])
+    assert [r.X for r in s.query("SELECT x * x * 2 AS x FROM a;").collect()] == [8 * 10**18]
+    assert sorted(r.X for r in s.query("SELECT x FROM a UNION SELECT y FROM b;").collect()) == [5, 2_000_000_000]
+    assert s.query("SELECT f FROM a UNION SELECT g FROM b;").count() == 2
+
+
+def test_contradicting_temporal_rules_are_refused_before_any_data(spark):
+    import pytest
+
+    from keelson.lang.tokens import LanguageError
+    from keelson.session import Session
+
+    s = Session(spark, 5)
+    s.register_stream("t", spark.createDataFrame([(0, 1, "long")], "_TS long, id long, size string"), ["id", "size"])
+    text = "SELECT SEQUENCE IDENTIFIED BY id [RANGE 3 SECOND] FROM t TEMPORAL PREFERENCES IF {} THEN size = 'long' > size = 'short' AND IF {} THEN size = 'short' > size = 'long';"
+    past = "PREVIOUS (size = 'x')"
+    for a, b in ((past, past), (past, past + " AND SOME PREVIOUS (size = 'y')")):
+        with pytest.raises(LanguageError):
+            s.query(text.format(a, b))
+    assert s.query(text.format("FIRST", past)).count() == 6 - 3
