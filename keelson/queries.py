@@ -82,10 +82,10 @@ def _win(n: int, k: int = 1) -> str:
 
 
 # -- projection, selection, joins ------------------------------------------------------------
-_add("select_star", _relations, "SELECT * FROM nation;", f'SELECT {_ZERO}, n_nationkey AS "N_NATIONKEY", n_name AS "N_NAME", n_regionkey AS "N_REGIONKEY" FROM nation')
+_add("select_star", _relations, "SELECT * FROM nation;", f'SELECT {_ZERO}, CAST(n_nationkey AS BIGINT) AS "N_NATIONKEY", n_name AS "N_NAME", CAST(n_regionkey AS BIGINT) AS "N_REGIONKEY" FROM nation')
 _add(
     *("select_rename_dedup", _relations, "SELECT r.r_regionkey AS aa, r.r_name, r.*, * FROM region AS r;"),
-    f'SELECT {_ZERO}, r_regionkey AS "AA", r_name AS "R_NAME", r_regionkey AS "R_REGIONKEY", r_name AS "R_NAME_2", r_regionkey AS "R_REGIONKEY_2", r_name AS "R_NAME_2_3" FROM region',
+    f'SELECT {_ZERO}, CAST(r_regionkey AS BIGINT) AS "AA", r_name AS "R_NAME", CAST(r_regionkey AS BIGINT) AS "R_REGIONKEY", r_name AS "R_NAME_2", CAST(r_regionkey AS BIGINT) AS "R_REGIONKEY_2", r_name AS "R_NAME_2_3" FROM region',
 )
 _add(
     *("arith_floor_div", _relations, "SELECT p_partkey, (p_size - 25) / 7 AS q, (p_size - 25) / (0 - 7) AS r, p_size * 2 + 1 - p_size / 3 AS s, p_name + '/' + p_brand AS n FROM part;"),
@@ -111,7 +111,7 @@ _add(
 _add("join_cross", _relations, "SELECT n_name, r_name FROM nation, region;", f'SELECT {_ZERO}, n_name AS "N_NAME", r_name AS "R_NAME" FROM nation, region')
 _add(
     *("join_theta", _relations, "SELECT a.n_nationkey AS x, r.r_regionkey AS y FROM nation AS a, region AS r WHERE a.n_regionkey < r.r_regionkey AND a.n_name > r.r_name;"),
-    f'SELECT {_ZERO}, n_nationkey AS "X", r_regionkey AS "Y" FROM nation, region WHERE n_regionkey < r_regionkey AND n_name > r_name',
+    f'SELECT {_ZERO}, CAST(n_nationkey AS BIGINT) AS "X", CAST(r_regionkey AS BIGINT) AS "Y" FROM nation, region WHERE n_regionkey < r_regionkey AND n_name > r_name',
 )
 _add(
     *("self_join", _relations, "SELECT a.n_name, b.n_name AS other FROM nation AS a, nation AS b WHERE a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey;"),
