@@ -30,6 +30,21 @@ def at_instants(intervals: DataFrame, last: int, first: int = 0) -> DataFrame:
     return rows.select(F.explode(F.sequence(low, high)).alias("_TS"), *(f"`{c}`" for c in intervals.columns if c not in ("_vfrom", "_vto")))
 
 
+#: Instants in a block of the timeline.
+BLOCK = 64
+
+
+def block(ts: Column) -> Column:
+    return F.floor(ts / BLOCK)
+
+
+def by_block(intervals: DataFrame, low: str, high: str, name: str, last: int) -> DataFrame:
+    """Intervals once for each block of the timeline that they touch; its number in `name`."""
+    end = F.least(F.coalesce(high, F.lit(last)), F.lit(last)).cast("long")
+    start = F.greatest(F.col(low), F.lit(0)).cast("long")
+    return intervals.filter(start <= end).withColumn(name, F.explode(F.sequence(block(start), block(end))))
+
+
 def changelog(changes: DataFrame, names: list[str]) -> DataFrame:
     """A log of insertions (`_FL` +) and deletions (-) as intervals. `_ORD` is the log's order.
 

@@ -1,13 +1,14 @@
 """From syntax trees to DataFrames.
 
-A relation is a DataFrame with `_TS` and one column per attribute, named `TABLE.ATTRIBUTE` while a
-query is worked out. Nothing here runs a job but the loops of TOP(k) and of sequence preferences."""
+A relation is a DataFrame with one column per attribute, named `TABLE.ATTRIBUTE` while a query is
+worked out. Sources are joined, filtered and, where that can be, grouped as intervals (`_vfrom`,
+`_vto`); only then are they spread over their instants (`_TS`). Nothing here runs a job but the loops of TOP(k) and of sequence preferences."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import compare, floor_div
@@ -25,19 +26,24 @@ class Leaf:
     """Something that FROM can name.
 
     kind STREAM: rows has `_TS`, `_ORD`. kind TABLE: intervals (`_vfrom`, `_vto`), or if view is
-    true, the relation at each instant."""
+    true, the relation at each instant. always: all rows hold at every instant."""
 
     name: str
     kind: str
     attributes: list[str]
     rows: DataFrame
     view: bool = False
+    always: bool = False
 
 
 @dataclass
 class Relation:
+    """span: of intervals, whether all hold always, start somewhere and stay (`from`), are single
+    instants (`point`), or none of these (`some`)."""
+
     rows: DataFrame
     attributes: list[tuple[str, str]] = field(default_factory=list)  # (table, name)
+    span: str = "some"
 
     def find(self, n: ast.Name) -> str:
         got = [a for a in self.attributes if a[1] == n.name and n.table in (None, a[0])]
@@ -47,6 +53,22 @@ class Relation:
         return f"{got[0][0]}.{got[0][1]}"
 
 
+def names_in(e) -> list[ast.Name]:
+    """The names in an expression, an aggregate or a comparison, `_TS` left out."""
+    if isinstance(e, ast.Name):
+        return [] if e.name == "_TS" else [e]
+    if isinstance(e, ast.Aggregate):
+        return names_in(e.of)
+    return names_in(e.left) + names_in(e.right) if hasattr(e, "left") else []
+
+
+def at_instant(e) -> bool:
+    """Whether an expression, an aggregate or a comparison asks for the instant."""
+    if isinstance(e, ast.Aggregate):
+        return at_instant(e.of)
+    return isinstance(e, ast.Current) or isinstance(e, ast.Name) and e.name == "_TS" or hasattr(e, "left") and (at_instant(e.left) or at_instant(e.right))
+
+
 class Planner:
     def __init__(self, leaves: dict[str, Leaf], last: int) -> None:
         self.leaves, self.last = leaves, last
@@ -80,9 +102,13 @@ class Planner:
         return None if leaf.view else leaf.rows
 
     def source(self, s: ast.Source) -> Relation:
+        """A source's intervals, its attributes named after it."""
         leaf, alias, held = self.leaf(s.name), s.alias or s.name, self.intervals(s)
-        rows = leaf.rows if held is None else windows.at_instants(held, self.last)
-        return Relation(rows.select("_TS", *(F.col(f"`{a}`").alias(f"{alias}.{a}") for a in leaf.attributes)), [(alias, a) for a in leaf.attributes])
+        if held is None:
+            span, held = "point", leaf.rows.withColumns({"_vfrom": F.col("_TS"), "_vto": F.col("_TS")})
+        else:
+            span = "always" if leaf.always else "from" if leaf.kind == "STREAM" and s.window.range is None else "some"
+        return Relation(held.select("_vfrom", "_vto", *(F.col(f"`{a}`").alias(f"{alias}.{a}") for a in leaf.attributes)), [(alias, a) for a in leaf.attributes], span)
 
     # -- streams -----------------------------------------------------------------------------
     def to_stream(self, t: ast.ToStream) -> DataFrame:
@@ -99,22 +125,65 @@ class Planner:
         parts = [self.source(s) for s in q.sources]
         if len({a for p in parts for a, _ in p.attributes}) != len(parts):
             raise LanguageError("two sources of one name; give one an alias")
-        whole = parts[0]
+        held = parts[0]
         for p in parts[1:]:
-            whole = Relation(whole.rows.join(p.rows, "_TS"), whole.attributes + p.attributes)
-        if q.where:
-            tests = [self.condition(c, whole) for c in q.where]
-            test = tests[0]
-            for t in tests[1:]:
-                test = test | t if q.any_of else test & t
-            whole = Relation(whole.rows.filter(test), whole.attributes)
-        if q.rules:
+            held = self.joined(held, p, self.has_key(q, held, p))
+        tests = [] if not q.where else [q.where] if q.any_of else [[c] for c in q.where]
+        late = [t for t in tests if any(at_instant(c) for c in t)]
+        for t in tests:
+            if t not in late:
+                held = Relation(held.rows.filter(self.any(t, held)), held.attributes, held.span)
+        groups = bool(q.groups) or any(isinstance(i.what, ast.Aggregate) for i in q.items)
+        if groups and not late and not q.rules and held.span != "point" and not any(at_instant(i.what) for i in q.items):
+            out = self.grouped(held, q)
+            return out.distinct() if q.distinct else out
+        rows = windows.at_instants(held.rows, self.last) if held.span != "point" else held.rows.withColumnRenamed("_vfrom", "_TS").drop("_vto")
+        whole = Relation(rows, held.attributes)
+        for t in late:
+            whole = Relation(whole.rows.filter(self.any(t, whole)), whole.attributes)
+        if q.rules:  # without them TOP(k) says nothing
             whole = self.preferred(whole, q)
-        elif q.top is not None and not q.rules:
-            pass  # TOP(k) says nothing without preferences
-        out = self.grouped(whole, q) if q.groups or any(isinstance(i.what, ast.Aggregate) for i in q.items) else self.projected(whole, q)
+        out = self.grouped(whole, q) if groups else self.projected(whole, q)
         return out.distinct() if q.distinct else out
 
+    def any(self, tests: list, r: Relation) -> Column:
+        out = self.condition(tests[0], r)
+        for t in tests[1:]:
+            out = out | self.condition(t, r)
+        return out
+
+    def has_key(self, q: ast.Select, left: Relation, right: Relation) -> bool:
+        """Whether WHERE holds an equality between the two, which then is the key of their join."""
+
+        def side(e) -> str:
+            names = names_in(e)
+            of = lambda r: all(any(a[1] == n.name and n.table in (None, a[0]) for a in r.attributes) for n in names)
+            return "" if not names or at_instant(e) else "left" if of(left) else "right" if of(right) else ""
+
+        return not q.any_of and any(c.op == "=" and not c.negated and {side(c.left), side(c.right)} == {"left", "right"} for c in q.where)
+
+    def joined(self, left: Relation, right: Relation, keyed: bool) -> Relation:
+        """Pairs whose intervals overlap, with the overlap. Conditions of WHERE follow as a filter,
+        which becomes the join's. Without a key, blocks of instants are it; a pair is made in the
+        block where its overlap starts. Tables that hold always need neither."""
+        a, b = left.rows, right.rows.withColumnsRenamed({"_vfrom": "_rfrom", "_vto": "_rto"})
+        spans = {left.span, right.span}
+        if "always" in spans:
+            both = a.join(b)
+        elif spans == {"point"}:
+            both = a.join(b, F.col("_vfrom") == F.col("_rfrom"))
+        else:
+            last = F.lit(self.last).cast("long")
+            on = (F.col("_vfrom") <= F.coalesce("_rto", last)) & (F.col("_rfrom") <= F.coalesce("_vto", last))
+            if not keyed:
+                a, b = windows.by_block(a, "_vfrom", "_vto", "_lblock", self.last), windows.by_block(b, "_rfrom", "_rto", "_rblock", self.last)
+                on = on & (F.col("_lblock") == F.col("_rblock")) & (F.col("_lblock") == windows.block(F.greatest("_vfrom", "_rfrom", F.lit(0))))
+            both = a.join(b, on)
+        attributes = left.attributes + right.attributes
+        span = spans.pop() if len(spans) == 1 else "point" if "point" in spans else "from" if spans == {"always", "from"} else "some"
+        low, high = F.greatest("_vfrom", "_rfrom").alias("_vfrom"), F.least("_vto", "_rto").alias("_vto")
+        return Relation(both.select(low, high, *(f"`{t}.{n}`" for t, n in attributes)), attributes, span)
+
     def preferred(self, whole: Relation, q: ast.Select) -> Relation:
         names = [a for _, a in whole.attributes]
         for r in q.rules:
@@ -194,8 +263,24 @@ class Planner:
                 out.append(F.col(f"_k{keys[r.find(e)]}").alias(n))
             else:
                 raise LanguageError(f"{n} is neither grouped nor an aggregate")
-        rows = r.rows.groupBy("_TS", *(F.col(f"`{k}`").alias(f"_k{i}") for k, i in keys.items()))
-        return rows.agg(*(self.aggregate(e, r).alias(n) for n, e in sums)).select(*out)
+        names = [f"_k{i}" for i in keys.values()]
+        by = [F.col(f"`{k}`").alias(f"_k{i}") for k, i in keys.items()]
+        made = [self.aggregate(e, r).alias(n) for n, e in sums]
+        again = {n: {"MIN": F.min, "MAX": F.max}.get(e.function, F.sum)(F.col(f"`{n}`")) for n, e in sums}
+        if "_TS" in r.rows.columns:
+            return r.rows.groupBy("_TS", *by).agg(*made).select(*out)
+        if r.span == "always":
+            got = r.rows.groupBy(*by).agg(*made).withColumns({"_vfrom": F.lit(0).cast("long"), "_vto": F.lit(None).cast("long")})
+            return windows.at_instants(got, self.last).select(*out)
+        if r.span == "from":  # a group's values change only where tuples come
+            start = F.greatest("_vfrom", F.lit(0)).alias("_vfrom")
+            got = r.rows.filter(F.col("_vfrom") <= self.last).groupBy(start, *by).agg(*made)
+            order = Window.partitionBy(*names).orderBy("_vfrom")
+            so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+            got = got.select(*names, *(c.over(so_far).alias(n) for n, c in again.items()), "_vfrom", (F.lead("_vfrom").over(order) - 1).alias("_vto"))
+            return windows.at_instants(got, self.last).select(*out)
+        got = windows.at_instants(r.rows.groupBy("_vfrom", "_vto", *by).agg(*made), self.last)
+        return got.groupBy("_TS", *names).agg(*(c.alias(n) for n, c in again.items())).select(*out)
 
     def aggregate(self, a: ast.Aggregate, r: Relation) -> Column:
         if a.function == "COUNT":

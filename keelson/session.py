@@ -67,7 +67,7 @@ class Session:
         names = self._attributes(attributes)
         rows = df.select(*(self._typed(df, a, n) for a, n in zip(attributes, names, strict=True)), F.lit(0).cast("long").alias("_vfrom"), F.lit(None).cast("long").alias("_vto"))
         name = self._new(name)
-        self.leaves[name] = Leaf(name, "TABLE", names, rows)
+        self.leaves[name] = Leaf(name, "TABLE", names, rows, always=True)
 
     def register_csv(self, kind: str, name: str, attributes: list[tuple[str, str]], path: str) -> None:
         """A file; rows that come late (below an instant already read) are skipped."""
