@@ -39,7 +39,7 @@ class Leaf:
 @dataclass
 class Relation:
     """span: of intervals, whether all hold always, start somewhere and stay (`from`), are single
-    instants (`point`), or none of these (`some`)."""
+    instants (`point`), or all are a window's (`window`), or none of these (`some`)."""
 
     rows: DataFrame
     attributes: list[tuple[str, str]] = field(default_factory=list)  # (table, name)
@@ -107,7 +107,7 @@ class Planner:
         if held is None:
             span, held = "point", leaf.rows.withColumns({"_vfrom": F.col("_TS"), "_vto": F.col("_TS")})
         else:
-            span = "always" if leaf.always else "from" if leaf.kind == "STREAM" and s.window.range is None else "some"
+            span = "always" if leaf.always else "some" if leaf.kind == "TABLE" else "from" if s.window.range is None else "window"
         return Relation(held.select("_vfrom", "_vto", *(F.col(f"`{a}`").alias(f"{alias}.{a}") for a in leaf.attributes)), [(alias, a) for a in leaf.attributes], span)
 
     # -- streams -----------------------------------------------------------------------------
@@ -164,8 +164,9 @@ class Planner:
 
     def joined(self, left: Relation, right: Relation, keyed: bool) -> Relation:
         """Pairs whose intervals overlap, with the overlap. Conditions of WHERE follow as a filter,
-        which becomes the join's. Without a key, blocks of instants are it; a pair is made in the
-        block where its overlap starts. Tables that hold always need neither."""
+        which becomes the join's. Blocks of instants are a key where there is no other, and a second
+        one between windows, so that a value met through all times is no one task's; a pair is made
+        in the block where its overlap starts. Tables that hold always need none."""
         a, b = left.rows, right.rows.withColumnsRenamed({"_vfrom": "_rfrom", "_vto": "_rto"})
         spans = {left.span, right.span}
         if "always" in spans:
@@ -175,7 +176,7 @@ class Planner:
         else:
             last = F.lit(self.last).cast("long")
             on = (F.col("_vfrom") <= F.coalesce("_rto", last)) & (F.col("_rfrom") <= F.coalesce("_vto", last))
-            if not keyed:
+            if not keyed or spans == {"window"}:
                 a, b = windows.by_block(a, "_vfrom", "_vto", "_lblock", self.last), windows.by_block(b, "_rfrom", "_rto", "_rblock", self.last)
                 on = on & (F.col("_lblock") == F.col("_rblock")) & (F.col("_lblock") == windows.block(F.greatest("_vfrom", "_rfrom", F.lit(0))))
             both = a.join(b, on)

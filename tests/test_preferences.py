@@ -9,6 +9,7 @@ from keelson.lang.parser import parse_theory
 from keelson.lang.tokens import LanguageError
 from keelson.operators import preference
 from keelson.prefs.theory import Theory
+from keelson.session import Session
 
 NAMES = ["A", "B", "C"]
 
@@ -80,3 +81,27 @@ def test_bag_and_top(spark):
 def test_empty_and_null(spark, rows):
     theory = Theory(list(parse_theory("A = 1 > A = 2")), ["A"])
     assert preference.best(spark.createDataFrame(rows, "_TS long, A long"), theory, ["A"]).count() == len(rows)
+
+
+# Worked examples with known answers.
+PLAYERS = [("Messi", "attack", 25, "Spanish"), ("Ribeiro", "midfield", 21, "Spanish"), ("Oscar", "midfield", 15, "Spanish"), ("Soares", "attack", 14, "Spanish"), ("Silva", "defense", 9, "Brazilian")]
+PLAYER_RULES = """(function = 'midfield') > (function = 'attack')[name, goals, league]
+    AND (function = 'attack') > (function = 'defense')[name, goals, league]
+    AND IF (function = 'midfield') THEN (goals <= 20) > (goals > 20)[name]
+    AND IF (function = 'attack') THEN (goals > 20) > (goals <= 20)[name]"""
+TRIPS = [("Angra", 2000.0, 4, "cruise"), ("Buzios", 2000.0, 5, "beach"), ("Salvador", 2600.0, 6, "cruise"), ("Belo Horizonte", 2700.0, 5, "urban"), ("Rio de Janeiro", 2600.0, 7, "beach")]
+TRIP_RULES = """itinerary = 'cruise' BETTER itinerary = 'beach' [destination, duration]
+    AND itinerary = 'beach' BETTER itinerary = 'urban' [price, destination]
+    AND IF itinerary = 'cruise' THEN price < 2500.0 BETTER price >= 2500.0 [destination, duration]"""
+
+
+@pytest.mark.parametrize(
+    "table, names, kinds, rules, best",
+    [(PLAYERS, "name function goals league", "string string long string", PLAYER_RULES, ["Oscar"]), (TRIPS, "destination price duration itinerary", "string double long string", TRIP_RULES, ["Angra"])],
+)
+def test_worked_examples(spark, table, names, kinds, rules, best):
+    names = names.split()
+    s = Session(spark, 1)
+    s.register_relation("t", spark.createDataFrame(table, ", ".join(f"{n} {k}" for n, k in zip(names, kinds.split(), strict=True))), names)
+    got = sorted(tuple(r)[:2] for r in s.query(f"SELECT * FROM t ACCORDING TO PREFERENCES {rules};").collect())
+    assert got == [(ts, b) for ts in (0, 1) for b in best]

@@ -1,5 +1,6 @@
 """Sessions over files, late rows, invalid deletions, views, sinks, and continuous runs."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -124,3 +125,71 @@ def test_contradicting_temporal_rules_are_refused_before_any_data(spark):
         with pytest.raises(LanguageError):
             s.query(text.format(a, b))
     assert s.query(text.format("FIRST", past)).count() == 6 - 3
+
+
+JOINS = [
+    ("p, q", lambda p, q: True),
+    ("p, q WHERE p.k = q.k", lambda p, q: p[0] == q[0]),
+    ("p, q WHERE p.k = q.k AND p.v + q.v > 3", lambda p, q: p[0] == q[0] and p[1] + q[1] > 3),
+    ("p, q WHERE p.v < q.v OR q.k = 0", lambda p, q: p[1] < q[1] or q[0] == 0),
+]
+SIDES = {"t": "t", "s[RANGE 3 SECOND]": "s3", "s[RANGE 5 SECOND, SLIDE 4 SECOND]": "s54", "s[UNBOUNDED]": "su", "r": "r", "vw": "vw"}
+
+
+@pytest.fixture(scope="module")
+def timeline(spark):
+    """A session over 0..150 (more than two blocks) and, by source, the bag of each instant."""
+    rnd, last = random.Random(3), 150
+    stream = [(rnd.randint(0, last), rnd.randint(0, 2), rnd.randint(0, 4)) for _ in range(25)]
+    fixed = [(k, k + 1) for k in range(3)] + [(0, 1)]
+    log, alive = [], []
+    for ts in sorted(rnd.sample(range(last), 24)):
+        if alive and rnd.random() < 0.4:
+            log.append((ts, "-", *alive.pop(rnd.randrange(len(alive)))))
+        else:
+            alive.append((rnd.randint(0, 2), rnd.randint(0, 4)))
+            log.append((ts, "+", *alive[-1]))
+    held = {name: [[] for _ in range(last + 1)] for name in SIDES.values()}
+    for i in range(last + 1):
+        held["r"][i] = list(fixed)
+        now = Counter(x[2:] for x in log if x[0] <= i and x[1] == "+") - Counter(x[2:] for x in log if x[0] <= i and x[1] == "-")
+        held["t"][i] = list(now.elements())
+        held["vw"][i] = [x for x in held["t"][i] if x[1] > 1]
+        held["s3"][i] = [x[1:] for x in stream if x[0] <= i < x[0] + 3]
+        held["s54"][i] = [x[1:] for x in stream if x[0] <= i < x[0] - x[0] % 4 + 5]
+        held["su"][i] = [x[1:] for x in stream if x[0] <= i]
+    s = Session(spark, last)
+    s.register_stream("s", spark.createDataFrame(stream, "ts int, k int, v int"), ["k", "v"], "ts")
+    s.register_table("t", spark.createDataFrame([(*x, n) for n, x in enumerate(log)], "ts int, fl string, k int, v int, n int"), ["k", "v"], "ts", "fl", "n")
+    s.register_relation("r", spark.createDataFrame(fixed, "k int, v int"), ["k", "v"])
+    s.register_query("vw", "SELECT * FROM t WHERE v > 1;")
+    return s, held
+
+
+@pytest.mark.parametrize("left, right", [("t", "s[RANGE 3 SECOND]"), ("s[RANGE 3 SECOND]", "s[RANGE 5 SECOND, SLIDE 4 SECOND]"), ("s[UNBOUNDED]", "r"), ("t", "s[UNBOUNDED]"), ("vw", "s[RANGE 3 SECOND]"), ("vw", "vw"), ("r", "r"), ("t", "t")])
+def test_joins_by_instant(timeline, left, right):
+    s, held = timeline
+    for text, test in JOINS:
+        got = Counter(tuple(x) for x in s.query(f"SELECT p.k, p.v, q.k AS qk, q.v AS qv FROM {text.replace('p, q', f'{left} AS p, {right} AS q', 1)};").collect())
+        want = Counter((i, *a, *b) for i in range(s.last + 1) for a in held[SIDES[left]][i] for b in held[SIDES[right]][i] if test(a, b))
+        assert got == want, text
+
+
+@pytest.mark.parametrize("source", SIDES)
+def test_groups_by_instant(timeline, source):
+    s, held = timeline
+    for where, test in (("", lambda i, x: True), (" WHERE p.v > 1", lambda i, x: x[1] > 1), (" WHERE p._TS > 40", lambda i, x: i > 40)):
+        got = sorted(tuple(x) for x in s.query(f"SELECT p.k, COUNT(*) AS n, SUM(p.v) AS s, MIN(p.v) AS a, MAX(p.v) AS b FROM {source} AS p{where} GROUP BY p.k;").collect())
+        want = []
+        for i in range(s.last + 1):
+            for k in range(3):
+                v = [x[1] for x in held[SIDES[source]][i] if x[0] == k and test(i, x)]
+                want += [(i, k, len(v), sum(v), min(v), max(v))] if v else []
+        assert got == sorted(want), where
+
+
+def test_nested_groups_of_a_join(timeline):
+    s, held = timeline
+    got = sorted(tuple(x) for x in s.query("SELECT p.k, COUNT(*) AS n FROM s[UNBOUNDED] AS p, r AS q, t AS u WHERE p.k = q.k AND u.k = q.k GROUP BY p.k;").collect())
+    want = Counter((i, a[0]) for i in range(s.last + 1) for a in held["su"][i] for b in held["r"][i] for c in held["t"][i] if a[0] == b[0] == c[0])
+    assert got == sorted((*k, n) for k, n in want.items())
