@@ -5,28 +5,34 @@ follows the area; around each, 256 pairs of points, turned by the patch's own or
 compared, which gives a binary descriptor. Descriptors meet in Hamming tables: eight windows of 48
 bits, whose buckets hold descriptors that agree there. Corners of many images are packed by bin of
 the bucket, so that a task sorts the buckets of its bin and tells how often two images meet. In a
-bucket of few images all meet; a crowded one (corners of plain shapes look alike everywhere) is
-split by 13 further bits, and what is crowded still meets its neighbours in an order by hash, another
-in each bucket. Images that met often enough are compared by their whole descriptors, and are linked
-if enough of the matching corners agree on one turn, scale and shift; links make classes. Exact
-copies were merged before."""
+bucket of few images all meet. In a crowded one (corners of plain shapes look alike everywhere) the
+bins tell only some pairs, so images of crowded buckets are packed into blocks besides, and each two
+blocks count their meetings in all buckets, however crowded. Images that met often enough are
+compared by their whole descriptors, and are linked if enough of the matching corners agree on one
+turn, scale and shift; links make classes. Exact copies were merged before."""
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, importable, lean, mix64, own_names, parts, trim
+from .common import Words, checkpointed, importable, lean, mix64, own_names, parts, release, trim
 from .components import components
 
 #: The scales, and how far around a corner no stronger one may lie.
 SCALES, AROUND = (1.0, 0.84, 0.7071, 0.5946), 4
 #: Bits of a descriptor; tables, each from another word on; bits of their keys, and further ones.
 BITS, TABLES, KEY_BITS, MORE_BITS = 256, 8, 48, 13
-#: In buckets of so many images at most all meet; in others each meets so many neighbours.
+#: In buckets of so many images at most all meet in the bins; in others, whose images meet in blocks
+#: besides, each meets so many neighbours there.
 FULL, NEXT = 6, 2
+#: Corners and images of a block at most (an image of more corners is a block), and meetings or pairs
+#: of corners that a step works on.
+BLOCK, ROOM, CELLS = 1 << 16, 1 << 10, 1 << 20
 #: Images that meet in so many buckets are compared.
 VOTES = 6
 #: Entries of corners that a task packs at a time.
@@ -230,8 +236,13 @@ def _binned(bins: int):
 
 
 def meetings(image: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of images that meet in buckets, low << 32 | high, and in how many buckets. image: their
-    numbers, one entry per corner and table."""
+    """Pairs of images that meet in buckets, low << 32 | high, and in how many buckets; in crowded
+    ones only neighbours meet. image: their numbers, one entry per corner and table."""
+    return _meetings(image, code)[:2]
+
+
+def _meetings(image: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those, and the images that stand in crowded buckets."""
     pairs = []
 
     def meet(bucket: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,26 +263,27 @@ def meetings(image: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 same &= ~crowded[d:]
             a, b = image[:-d][same].astype(np.uint64), image[d:][same].astype(np.uint64)
             pairs.append((np.minimum(a, b) << np.uint64(32)) | np.maximum(a, b))
-        return bucket[crowded]
+        return bucket[crowded], image[crowded]
 
     if not len(code):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    often = np.unique(meet(code >> np.uint64(MORE_BITS), image))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    often, crowd = map(np.unique, meet(code >> np.uint64(MORE_BITS), image))
     if len(often):
         again = np.isin(code >> np.uint64(MORE_BITS), often)
         meet(code[again], image[again])
-    return np.unique(np.concatenate(pairs), return_counts=True)
+    return *np.unique(np.concatenate(pairs), return_counts=True), crowd
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """(a, b, votes) of the buckets of one bin."""
+    """(a, b, votes) of the buckets of one bin; (a, a, 0) for an image of a crowded one."""
     known = [np.frombuffer(x.as_py(), np.int64) for x in table.column("images")]
     names = np.unique(np.concatenate(known))
     image = np.concatenate([np.searchsorted(names, k)[np.frombuffer(x.as_py(), np.uint16)] for k, x in zip(known, table.column("at"), strict=True)])
     code = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("codes")])
-    pairs, votes = meetings(image, code)
-    side = lambda k: pa.array(names[k.astype(np.int64)])
-    out = pa.table({"a": side(pairs >> np.uint64(32)), "b": side(pairs & np.uint64(0xFFFFFFFF)), "votes": pa.array(votes.astype(np.int32))})
+    pairs, votes, crowd = _meetings(image, code)
+    side = lambda k: pa.array(names[np.append(k.astype(np.int64), crowd)])
+    votes = np.append(votes, np.zeros(len(crowd))).astype(np.int32)
+    out = pa.table({"a": side(pairs >> np.uint64(32)), "b": side(pairs & np.uint64(0xFFFFFFFF)), "votes": pa.array(votes)})
     trim()
     return out
 
@@ -315,9 +327,188 @@ def _agreeing(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1 and so on, size of them, one range after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def _steps(size: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Slices whose sizes add up to little more than most, or of one element."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // most, prepend=-1, append=-1)) if len(size) else np.zeros(1, int)
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
+class Block:
+    """Described images, one after another: their numbers; first: where the corners of each begin."""
+
+    def __init__(self, images: bytes, sizes: bytes, spots: bytes, bits: bytes) -> None:
+        self.images, self.sizes = np.frombuffer(images, np.int64), np.frombuffer(sizes, np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.spots, self.bits = np.frombuffer(spots, np.float32).reshape(-1, 4), np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)
+        self.words = self.bits.view(np.uint64)
+        self.columns = np.ascontiguousarray(self.words.T)
+        # Once per bucket and image; images are numbered within the block.
+        own = np.repeat(np.arange(len(self.images), dtype=np.uint64), self.sizes)[:, None]
+        entries = np.unique((codes(self.bits) >> np.uint64(MORE_BITS)) * np.uint64(ROOM) + own)
+        self.at = (entries % np.uint64(ROOM)).astype(np.int64)
+        self.buckets, self.begin, self.often = np.unique(entries // np.uint64(ROOM), return_index=True, return_counts=True)
+
+    def corners(self, k: int) -> slice:
+        return slice(int(self.first[k]), int(self.first[k] + self.sizes[k]))
+
+
+def shared(x: Block, y: Block) -> np.ndarray:
+    """By image of x and image of y, in how many buckets both stand."""
+    _, p, q = np.intersect1d(x.buckets, y.buckets, assume_unique=True, return_indices=True)
+    votes = np.zeros(len(x.images) * len(y.images), np.int64)
+    for i, j in _steps(x.often[p] * y.often[q], CELLS):
+        u, v = p[i:j], q[i:j]
+        times = np.repeat(y.often[v], x.often[u])
+        a = np.repeat(x.at[_ranges(x.begin[u], x.often[u])], times)
+        b = y.at[_ranges(np.repeat(y.begin[v], x.often[u]), times)]
+        votes += np.bincount(a * len(y.images) + b, minlength=len(votes))
+    return votes.reshape(len(x.images), len(y.images))
+
+
+@cache
+def _rooms() -> tuple[np.ndarray, np.ndarray]:
+    """Room that is used again, as new pages for each step cost more than the step."""
+    return np.empty(2 * CELLS, np.uint64), np.empty(2 * CELLS, np.uint8)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits descriptors differ (255 for all): x by words, y by columns of words."""
+    out = np.empty((len(x), y.shape[1]), np.uint8)
+    step = max(1, CELLS // y.shape[1])
+    for i in range(0, len(x), step):
+        got = out[i : i + step]
+        differ, more = (r[: got.size].reshape(got.shape) if got.size <= len(r) else np.empty(got.shape, r.dtype) for r in _rooms())
+        for w in range(len(y)):
+            np.bitwise_xor(x[i : i + step, w, None], y[w], out=differ)
+            np.bitwise_count(differ, out=more if w else got)
+            if w:
+                np.add(got, more, out=got)
+        if (round_ := got < more).any():  # 256 came round to 0
+            got[round_] = 255
+    return out
+
+
+def alike_all(x: Block, k: int, y: Block, some: np.ndarray) -> np.ndarray:
+    """Which of some images of y are alike to image k of x: what alike() says, for many at a time."""
+    here = x.corners(k)
+    place = np.unique(x.spots[here, :2], axis=0, return_inverse=True)[1].ravel()
+    yes = np.zeros(len(some), bool)
+    for i, j in _steps(y.sizes[some], max(1, CELLS // len(place))):
+        yes[i:j] = _alike_some(x.spots[here], x.words[here], place, y, some[i:j])
+    return yes
+
+
+def _alike_some(spots: np.ndarray, words: np.ndarray, place: np.ndarray, y: Block, some: np.ndarray) -> np.ndarray:
+    size, n = y.sizes[some], len(spots)
+    begin = np.cumsum(size) - size
+    columns, whose = _ranges(y.first[some], size), np.repeat(np.arange(len(some)), size)
+    apart = _apart(words, y.columns.take(columns, 1))
+    # Nearest to each other: by column the first of the nearest, which has to be nearest in its row.
+    kind, low = (np.uint16, 8) if n <= 256 else (np.uint32, 24)
+    top = ((apart.astype(kind) << kind(low)) | np.arange(n, dtype=kind)[:, None]).min(0)
+    i, top = (top & kind((1 << low) - 1)).astype(np.int64), top >> kind(low)
+    c = np.flatnonzero((top <= APART) & (np.minimum.reduceat(apart, begin, axis=1)[i, whose] == top))
+    i, b = i[c], whose[c]
+    # Images of which too few matches, or too few turned alike, could agree are left out first.
+    one, two = spots[i], y.spots[columns[c]]
+    turned = 16 * b + (two[:, 3] - one[:, 3]).astype(float) % (2 * np.pi)
+    turned = np.sort(np.append(turned, turned + 2 * np.pi))
+    left = np.zeros(len(some), bool)
+    start = turned[: max(0, len(turned) - AGREE + 1)]
+    left[(start[turned[AGREE - 1 :] - start < 1.01] // 16).astype(int)] = True
+    i, c, b = i[left[b]], c[left[b]], b[left[b]]
+    # Of a row's equally near corners the first.
+    before = c - begin[b]
+    tie = apart.ravel()[_ranges(i * len(columns) + begin[b], before)] == np.repeat(top[c], before)
+    first = np.bincount(np.repeat(np.arange(len(c)), before)[tie], minlength=len(c)) == 0
+    i, c, b = i[first], c[first], b[first]
+    # As in consensus(): match p proposes, match q of the same image agrees.
+    one, two = spots[i], y.spots[columns[c]]
+    count = np.bincount(b, minlength=len(some))
+    p = np.repeat(np.arange(len(b)), count[b])
+    q = _ranges((np.cumsum(count) - count)[b], count[b])
+    turn, grow = two[:, 3] - one[:, 3], two[:, 2] / one[:, 2]
+    near = np.abs((turn[q] - turn[p] + np.pi) % (2 * np.pi) - np.pi) < 0.5
+    near &= np.bincount(p[near], minlength=len(b))[p] >= AGREE
+    p, q = p[near], q[near]
+    cos, sin = np.cos(turn) * grow, np.sin(turn) * grow
+    r, c = one[q, 0] * cos[p] + one[q, 1] * sin[p], one[q, 1] * cos[p] - one[q, 0] * sin[p]
+    own = one[:, 0] * cos + one[:, 1] * sin - two[:, 0], one[:, 1] * cos - one[:, 0] * sin - two[:, 1]
+    agree = np.hypot(r - own[0][p] - two[q, 0], c - own[1][p] - two[q, 1]) <= NEAR * np.maximum(1, grow)[p]
+    votes = np.unique(p[agree] * n + place[i[q[agree]]]) // n  # a corner's place counts once
+    return np.bincount(b[np.bincount(votes, minlength=len(b)) >= AGREE], minlength=len(some)) > 0
+
+
+def _blocked(batches):
+    """Rows (first, images, sizes, spots, bits) of many images; first: the number of the first."""
+    names = ["first", "images", "sizes", "spots", "bits"]
+
+    def row(some):
+        numbers, sizes = (np.array(x, np.int64) for x in ([s[0] for s in some], [len(s[2]) * 8 // BITS for s in some]))
+        values = [int(numbers[0]), numbers.tobytes(), sizes.tobytes(), b"".join(s[1] for s in some), b"".join(s[2] for s in some)]
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if k else pa.int64()) for k, v in enumerate(values)], names=names)
+
+    some, n = [], 0
+    for batch in batches:
+        for image in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            size = len(image[2]) * 8 // BITS
+            if some and (n + size > BLOCK or len(some) == ROOM):
+                yield row(some)
+                some, n = [], 0
+            some.append(image)
+            n += size
+    if some:
+        yield row(some)
+
+
+def _compared(batches):
+    """(a, b): the links between the images of two blocks, or within one."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            first, *x, other = (batch.column(c)[k].as_py() for c in range(6))
+            x = Block(*x)
+            y = x if first == other else Block(*(batch.column(c)[k].as_py() for c in range(6, 10)))
+            votes = shared(x, y)
+            links = [np.zeros((2, 0), np.int64)]
+            for i in range(len(x.images)):
+                some = np.flatnonzero(votes[i] >= VOTES)
+                some = some[some > i] if y is x else some
+                if len(some):
+                    found = y.images[some[alike_all(x, i, y, some)]]
+                    links.append(np.stack([np.full(len(found), x.images[i]), found]))
+            links = np.concatenate(links, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(links.min(0)), pa.array(links.max(0))], names=["a", "b"])
+        trim()
+
+
+def crowd_links(images: DataFrame) -> DataFrame:
+    """a, b: all links between images (image, spots, bits) that meet in VOTES buckets, however many
+    images these hold. Every two blocks are met, which grows with the square of the images."""
+    n = images.agg(F.sum(F.length("bits"))).first()[0] or 0
+    blocks = images.repartition(max(1, -(-n // (BLOCK * 3 // 4 * BITS // 8))))  # with room, so that a part is a block
+    blocks = checkpointed(blocks.mapInArrow(lean(_blocked), "first long, images binary, sizes binary, spots binary, bits binary"))
+    x, y = (blocks.toDF(*(f"{side}_{c}" for c in blocks.columns)) for side in "xy")
+    both = x.hint("shuffle_replicate_nl").join(y, F.col("x_first") <= F.col("y_first"))  # blocks are read again, not shuffled
+    return both.mapInArrow(lean(_compared), "a long, b long")
+
+
+def _often_met(images: DataFrame, bins: int) -> DataFrame:
+    """a, b: pairs that met often enough in the bins; (a, a): an image of a crowded bucket."""
+    binned = images.select("image", "bits").mapInArrow(lean(_binned(bins)), "bin int, images binary, at binary, codes binary")
+    met = binned.groupBy("bin").applyInArrow(_met, "a long, b long, votes int")
+    votes = met.groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+    return checkpointed(votes.filter((F.col("votes") >= VOTES) | (F.col("a") == F.col("b"))).select("a", "b"))
+
+
 def copy_classes(df: DataFrame, id_col: str, image_col: str) -> DataFrame:
-    """id, class_id (the smallest id of the class), n_links (links of its image that were found):
-    one row per row of df.
+    """id, class_id (the smallest id of the class), n_links (images alike to its own that meet it in
+    VOTES buckets, crowded or not; parts of crowded buckets may add to these, so a few more are
+    found): one row per row of df.
 
     Ids are integers; rows of null or equal ids stay apart. Equal bytes share a class; null images
     count as empty ones; these, unreadable ones and those without corners are alone beside their
@@ -333,12 +524,12 @@ def copy_classes(df: DataFrame, id_col: str, image_col: str) -> DataFrame:
     kinds = described.groupBy("node").agg(F.first("spots").alias("spots"), F.first("bits").alias("bits"))
     # Numbered once and for all, as the checkpoint holds the numbers.
     images = checkpointed(kinds.withColumn("image", F.monotonically_increasing_id()))
-    binned = images.select("image", "bits").mapInArrow(lean(_binned(2 * parts(df))), "bin int, images binary, at binary, codes binary")
-    met = binned.groupBy("bin").applyInArrow(_met, "a long, b long, votes int")
-    pairs = met.groupBy("a", "b").agg(F.sum("votes").alias("votes")).filter(F.col("votes") >= VOTES).select("a", "b")
+    met = _often_met(images, 2 * parts(df))
+    release(df.sparkSession)
     corners = images.select("image", "spots", "bits")
-    told = pairs.join(corners.toDF("a", "xs", "xb"), "a").join(corners.toDF("b", "ys", "yb"), "b").select("a", "b", "xs", "xb", "ys", "yb")
-    links = checkpointed(told.mapInArrow(lean(_agreeing), "a long, b long"))
+    told = met.filter("a <> b").join(corners.toDF("a", "xs", "xb"), "a").join(corners.toDF("b", "ys", "yb"), "b").select("a", "b", "xs", "xb", "ys", "yb")
+    crowd = corners.join(met.filter("a = b").select(F.col("a").alias("image")), "image", "left_semi")
+    links = checkpointed(told.mapInArrow(lean(_agreeing), "a long, b long").unionByName(crowd_links(crowd)).distinct())
     lead = members.groupBy("node").agg(F.min("id").alias("lead")).join(images.select("node", "image"), "node")
     classes = components(links).toDF("image", "top")
     degree = links.select(F.explode(F.array("a", "b")).alias("image")).groupBy("image").agg(F.count(F.lit(1)).alias("n_links"))

@@ -403,6 +403,55 @@ def test_image_tables_against_brute_force():
     assert not any(media.alike(seen[a], seen[b]) for a in range(40) for b in range(a))
 
 
+def logos(marks, each, side):
+    """Images that show one of a few marks, at another place each, and little else."""
+    rng = np.random.Generator(np.random.PCG64(2))
+    out = []
+    for k, at in enumerate(rng.permutation(36 * 36)[: marks * each].tolist()):
+        image = np.full((132, 132), 128.0, np.float32)
+        r, c = 24 + at // 36, 24 + at % 36
+        image[r : r + side, c : c + side] = media.draw(media.shapes(" ".join(f"m{k % marks}x{i}" for i in range(300)).encode()))[30 : 30 + side, 30 : 30 + side]
+        out.append(media.decode_image(media.encode_pgm(image)))
+    return out
+
+
+def test_copies_that_meet_in_crowded_buckets_only(spark):
+    """No link of images whose buckets are crowded is lost, against brute force over all pairs, and
+    none is found that a comparison of whole descriptors doesn't confirm."""
+    images = logos(2, 100, 16)
+    seen = [media.describe(x) for x in images]
+    buckets = [set((media.codes(d[1]) >> np.uint64(media.MORE_BITS)).ravel().tolist()) for d in seen]
+    # Which image of a pair comes first depends on their numbers, and may decide between equally near corners.
+    ways = {(a, b): media.alike(seen[a], seen[b]) + media.alike(seen[b], seen[a]) for b in range(len(images)) for a in range(b)}
+    alike = [pair for pair, n in ways.items() if n]
+    links = [(a, b) for a, b in alike if ways[a, b] == 2 and len(buckets[a] & buckets[b]) >= media.VOTES]
+    assert len(links) > 10 * len(images)
+    least, most = (collections.Counter(k for link in some for k in link) for some in (links, alike))
+    df = spark.createDataFrame([(k, media.encode_pgm(x)) for k, x in enumerate(images)], "id long, image binary")
+    got = {r.id: r for r in media.copy_classes(df, "id", "image").collect()}
+    assert len(got) == len(images) and all(least[k] <= got[k].n_links <= most[k] for k in got)
+    assert all(got[a].class_id == got[b].class_id for a, b in links)
+
+
+def test_blocks_against_brute_force(monkeypatch):
+    """Meetings of two blocks and comparison of many images, against one pair at a time."""
+    images = logos(3, 8, 44) + [media.draw(media.shapes(f"a{k} b{k}".encode())) for k in range(4)] + [np.zeros((132, 132), np.float32)]
+    images += [media.edited(x, k % 4) for k, x in enumerate(images[:12])]
+    seen = [d for d in map(media.describe, images) if len(d[1])]
+    # Descriptors that are equal, complements of one another, or many.
+    seen += [(d[0], np.repeat(d[1][:1], len(d[1]), 0)) for d in seen[:2]] + [(seen[0][0], ~seen[0][1])]
+    seen.append(tuple(np.concatenate([d[k] for d in seen[:20]]) for k in (0, 1)))
+    block = lambda some: media.Block(np.arange(len(some)).tobytes(), np.array([len(d[1]) for d in some]).tobytes(), *(b"".join(d[k].tobytes() for d in some) for k in (0, 1)))
+    x, y = block(seen[::2]), block(seen[1::2])
+    buckets = [set((media.codes(d[1]) >> np.uint64(media.MORE_BITS)).ravel().tolist()) for d in seen]
+    want = [[media.alike(a, b) for b in seen[1::2]] for a in seen[::2]]
+    assert any(map(any, want)) and not all(map(all, want))
+    for cells in (media.CELLS, 500):
+        monkeypatch.setattr(media, "CELLS", cells)
+        assert media.shared(x, y).tolist() == [[len(a & b) for b in buckets[1::2]] for a in buckets[::2]]
+        assert [media.alike_all(x, k, y, np.arange(len(y.images))).tolist() for k in range(len(x.images))] == want
+
+
 def test_crowded_buckets_stay_linear():
     n = 400
     code = np.full(n, 5 << media.MORE_BITS, np.uint64)
