@@ -30,10 +30,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, own_names
+from .common import lean, own_names, trim
 
 #: Bytes of encoded parts that a worker remembers at most.
 MEMORY = 32 << 20
+#: Parts that are encoded together at most.
+TOGETHER = 1 << 13
 #: Bytes of a pre-token that is encoded together with others; a longer one is encoded by itself.
 LONGEST = 64
 #: Fixed: the byte-level pre-token pattern that goes with the public vocabulary.
@@ -78,8 +80,9 @@ class Trie:
 
 
 class Automaton:
-    """labels: bytes by token. number: a token's place in the tree of left parts. after: the state
-    that its arcs lead to. states: bounds of the numbers without an arc."""
+    """labels: bytes by token. numbers: a token's place in the tree of left parts. afters: the state
+    that its arcs lead to. bounds: by state those of the numbers without an arc. What these were
+    made from goes once they are made."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -164,6 +167,7 @@ class Automaton:
             self.numbers[t], self.afters[t], self.lengths[t] = self.number.get(t, 0), self.after.get(t, 0), len(s)
         self.row_ends = np.concatenate([[0], np.cumsum([len(x) for x in self.states])])
         self.bounds = np.repeat(np.arange(len(self.states), dtype=np.int64) << 20, np.diff(self.row_ends)) + np.concatenate([np.asarray(x, np.int64) for x in self.states])
+        del self.number, self.after, self.states
 
     def word(self, text: bytes) -> list[int]:
         """The tokens of one pre-token."""
@@ -272,6 +276,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.automaton = Automaton(path)
+        trim()
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.automaton.special)) + ")")
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -296,8 +301,8 @@ class Encoder:
         special = missing.intersection(self.automaton.special)
         made.update((p, pack("<I", self.automaton.special[p])) for p in special)
         fresh = list(missing.difference(made))
-        for i in range(0, len(fresh), 1 << 15):
-            self._made(fresh[i : i + (1 << 15)], made)
+        for i in range(0, len(fresh), TOGETHER):
+            self._made(fresh[i : i + TOGETHER], made)
         kept = {p: ids for p, ids in made.items() if len(p) <= 256}
         known = self.new if len(kept) == len(made) else {**self.new, **made}
         self.new.update(kept)

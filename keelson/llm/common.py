@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Fixed: the six ASCII white space characters that part words, `[\x20\x09-\x0D]`.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -56,6 +58,22 @@ def release(spark: SparkSession) -> None:
     the driver collects garbage, and a loop of small jobs may fill disks long before that."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    shrink(spark)
+
+
+def shrink(spark: SparkSession) -> None:
+    """Executors give heap that holds only garbage back to the system: a heap that a step has grown
+    stays grown, beside the Python workers of the next. One small task per core collects it."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table. Rows go by Arrow, as lists would start Python workers of
+    another kind on all executors, which stay there."""
+    kind = T.StructType.fromDDL(schema)
+    columns = [pa.array([r[k] for r in rows], to_arrow_type(f.dataType)) for k, f in enumerate(kind.fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=kind.names), kind)
 
 
 def parts(df: DataFrame) -> int:

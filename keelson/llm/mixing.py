@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, own_names, running_totals
+from .common import checkpointed, own_names, running_totals, small_table
 from .rules import words_of
 
 WEIGHTS = (5, 2, 1)
@@ -105,7 +105,7 @@ def schedule(df: DataFrame, plan: Plan) -> DataFrame:
             late.append((at, s, have, n))
             at += n - have
     if late:
-        more = spark.createDataFrame(late, "a long, s int, have long, n long").select(F.explode(F.expr("sequence(have, n - 1)")).alias("rank"), "a", "s", "have")
+        more = small_table(spark, late, "a long, s int, have long, n long").select(F.explode(F.expr("sequence(have, n - 1)")).alias("rank"), "a", "s", "have")
         ranked = ranked.unionByName(more.select((F.col("a") + F.col("rank") - F.col("have")).alias("slot"), "s", "rank"))
     known = F.broadcast(_of_sources(spark, plan))
     epoch, block = F.floor(F.col("rank") / F.col("blocks")), F.col("rank") % F.col("blocks")
@@ -117,7 +117,7 @@ def schedule(df: DataFrame, plan: Plan) -> DataFrame:
 def _of_sources(spark, plan: Plan) -> DataFrame:
     """The sources' numbers and figures: MOST_SOURCES rows at most."""
     rows = [(i, s, n, t, w, b, v, o) for i, (s, n, t, w, b, v, o) in enumerate(zip(plan.sources, plan.sizes, plan.targets, plan.words, plan.blocks, plan.visits, plan.offsets, strict=False))]
-    return spark.createDataFrame(rows, T.StructType.fromDDL("s int, source string, n long, target double, w long, blocks long, visits long, offset long"))
+    return small_table(spark, rows, "s int, source string, n long, target double, w long, blocks long, visits long, offset long")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, key_col: str | None = None) -> DataFrame:

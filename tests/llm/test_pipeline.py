@@ -103,3 +103,34 @@ def test_frequent_lines_go_from_rows_of_any_id(spark):
     assert sorted(r.text for r in out) == [f"own line {k}" for k in range(10)]
     out = p.line_dedup(spark, spark.createDataFrame(rows[:9], "doc_id long, text string, source string, n_chars int, __drop string"), SF).collect()
     assert all("Shared" in r.text for r in out)
+
+
+def test_stages_leave_little_memory_behind(spark, monkeypatch):
+    import os
+    import subprocess
+    import sys
+
+    import corpus_pipeline as p
+    from keelson.llm.common import release
+
+    # The heap of executors is collected too: in local mode by one task per core besides the driver's call.
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = whole()
+    release(spark)
+    assert whole() - before >= 2
+    # Small tables of the driver start no Python workers of another kind.
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_, **__: pytest.fail("rows go through Python workers"))
+    assert p.mix_sources(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).count() > 0
+    # An encoder keeps what it needs to encode: MB that are its process's own (108 with all it was made from).
+    code = """if True:
+        import re
+        from keelson.llm import bpe
+        from keelson.llm.queries import tokenizer
+        own = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+        before = own()
+        bpe.load(tokenizer("byte_bpe_50k.json"))
+        print(own() - before)"""
+    env = {**os.environ, "PYTHONPATH": str(p.__file__).rsplit("/", 1)[0]}
+    got = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout
+    assert float(got) < 80
