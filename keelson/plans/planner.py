@@ -2,11 +2,14 @@
 
 A relation is a DataFrame with one column per attribute, named `TABLE.ATTRIBUTE` while a query is
 worked out. Sources are joined, filtered and, where that can be, grouped as intervals (`_vfrom`,
-`_vto`); only then are they spread over their instants (`_TS`). Nothing here runs a job but the loops of TOP(k) and of sequence preferences."""
+`_vto`); only then are they spread over their instants (`_TS`). Sources of a grouped join are condensed
+before they meet. Nothing here runs a job but the loops of TOP(k) and of sequence preferences."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import mul
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,14 +39,30 @@ class Leaf:
     always: bool = False
 
 
+@dataclass(frozen=True)
+class Begun:
+    """An aggregate worked out within a source: its column, that of the source's counts, the type,
+    and the column that is true where the value could fail, so that it is still to be worked out."""
+
+    column: str
+    count: str
+    kind: str
+    unsure: str | None
+
+
 @dataclass
 class Relation:
     """span: of intervals, whether all hold always, start somewhere and stay (`from`), are single
-    instants (`point`), or all are a window's (`window`), or none of these (`some`)."""
+    instants (`point`), or all are a window's (`window`), or none of these (`some`).
+
+    Of condensed sources, rows has only the attributes that are still asked for; a row stands for as
+    many tuples as the product of counts."""
 
     rows: DataFrame
     attributes: list[tuple[str, str]] = field(default_factory=list)  # (table, name)
     span: str = "some"
+    counts: tuple[str, ...] = ()
+    begun: dict[ast.Aggregate, Begun] = field(default_factory=dict)
 
     def find(self, n: ast.Name) -> str:
         got = [a for a in self.attributes if a[1] == n.name and n.table in (None, a[0])]
@@ -69,6 +88,11 @@ def at_instant(e) -> bool:
     return isinstance(e, ast.Current) or isinstance(e, ast.Name) and e.name == "_TS" or hasattr(e, "left") and (at_instant(e.left) or at_instant(e.right))
 
 
+def exact(c: Column, kind: str) -> Column:
+    """Numbers to add up: integers as decimals, as a part of a sum may be larger than the whole."""
+    return c.cast("decimal(20,0)") if kind == "INTEGER" else c
+
+
 class Planner:
     def __init__(self, leaves: dict[str, Leaf], last: int) -> None:
         self.leaves, self.last = leaves, last
@@ -125,27 +149,80 @@ class Planner:
         parts = [self.source(s) for s in q.sources]
         if len({a for p in parts for a, _ in p.attributes}) != len(parts):
             raise LanguageError("two sources of one name; give one an alias")
+        if len(parts) > 1 and q.groups and not q.rules and any(isinstance(i.what, ast.Aggregate) for i in q.items):
+            parts, q = self.condensed(parts, q)
         held = parts[0]
         for p in parts[1:]:
             held = self.joined(held, p, self.has_key(q, held, p))
-        tests = [] if not q.where else [q.where] if q.any_of else [[c] for c in q.where]
+        tests = self.tests(q)
         late = [t for t in tests if any(at_instant(c) for c in t)]
         for t in tests:
             if t not in late:
-                held = Relation(held.rows.filter(self.any(t, held)), held.attributes, held.span)
+                held = replace(held, rows=held.rows.filter(self.any(t, held)))
         groups = bool(q.groups) or any(isinstance(i.what, ast.Aggregate) for i in q.items)
         if groups and not late and not q.rules and held.span != "point" and not any(at_instant(i.what) for i in q.items):
             out = self.grouped(held, q)
             return out.distinct() if q.distinct else out
         rows = windows.at_instants(held.rows, self.last) if held.span != "point" else held.rows.withColumnRenamed("_vfrom", "_TS").drop("_vto")
-        whole = Relation(rows, held.attributes)
+        whole = replace(held, rows=rows)
         for t in late:
-            whole = Relation(whole.rows.filter(self.any(t, whole)), whole.attributes)
+            whole = replace(whole, rows=whole.rows.filter(self.any(t, whole)))
         if q.rules:  # without them TOP(k) says nothing
             whole = self.preferred(whole, q)
         out = self.grouped(whole, q) if groups else self.projected(whole, q)
         return out.distinct() if q.distinct else out
 
+    def condensed(self, parts: list[Relation], q: ast.Select) -> tuple[list[Relation], ast.Select]:
+        """The sources of a grouped join, with one row (and their number) for tuples that are equal in
+        time and in all that later steps ask for, and what is left of the query: conditions on one
+        source are met, aggregates of one source's attributes are begun. So the work grows with the
+        sources, not with the pairs of a frequent key."""
+        parts, where = list(parts), []
+        whole = Relation(reduce(DataFrame.join, (p.rows.drop("_vfrom", "_vto") for p in parts)), [a for p in parts for a in p.attributes])
+        at = {f"{t}.{n}": i for i, p in enumerate(parts) for t, n in p.attributes}
+        columns = lambda e: {whole.find(n) for n in names_in(e)}
+        for t in self.tests(q):
+            on = {at[c] for e in t for c in columns(e)}
+            if len(on) == 1 and not any(at_instant(e) for e in t):
+                p = parts[i := on.pop()]
+                parts[i] = replace(p, rows=p.rows.filter(self.any(t, p)))
+            else:
+                where += t
+        needed = {whole.find(g) for g in q.groups}.union(*(columns(c) for c in where))
+        mine: list[list[ast.Aggregate]] = [[] for _ in parts]
+        for _, e in self.items(whole, q):
+            if not isinstance(e, ast.Aggregate):
+                continue
+            self.aggregate(e, whole)  # refuses what is no aggregate
+            if e.function == "COUNT":
+                continue
+            if len(on := {at[c] for c in columns(e)}) == 1 and not at_instant(e):
+                mine[on.pop()].append(e)
+            else:
+                needed |= columns(e)
+        return [self.condense(p, needed, mine[i], i) for i, p in enumerate(parts)], replace(q, where=tuple(where))
+
+    def condense(self, p: Relation, needed: set[str], sums: list[ast.Aggregate], i: int) -> Relation:
+        """One source, by its interval and the needed attributes. Values that could fail (too large,
+        divided by zero) may belong to tuples that meet nothing: their attributes are kept instead."""
+        rows, kept, begun, made = p.rows, {c: F.lit(True) for c in needed}, {}, []
+        for k, e in enumerate(dict.fromkeys(sums)):
+            (of, kind), unsure = self.expression(e.of, p, sure=True), None
+            if isinstance(e.of, ast.Arith):
+                names, unsure = [p.find(n) for n in names_in(e)], f"_u{i}_{k}"
+                rows = rows.withColumn(unsure, reduce(lambda a, n: a & F.col(f"`{n}`").isNotNull(), names, of.isNull()))
+                kept |= {n: kept.get(n, F.lit(False)) | F.col(unsure) for n in names}
+            begun[e] = Begun(f"_p{i}_{k}", f"_n{i}", kind, unsure)
+            made.append({"MIN": F.min, "MAX": F.max, "SUM": F.sum}[e.function](exact(of, kind) if e.function == "SUM" else of).alias(begun[e].column))
+        by = [F.when(kept[c], F.col(f"`{c}`")).alias(c) for c in (f"{t}.{n}" for t, n in p.attributes) if c in kept]
+        rows = rows.groupBy("_vfrom", "_vto", *by, *(b.unsure for b in begun.values() if b.unsure)).agg(F.count(F.lit(1)).alias(f"_n{i}"), *made)
+        return replace(p, rows=rows, counts=(f"_n{i}",), begun=begun)
+
+    @staticmethod
+    def tests(q: ast.Select) -> list:
+        """The parts of WHERE that all must hold; of each, one condition must."""
+        return [] if not q.where else [q.where] if q.any_of else [[c] for c in q.where]
+
     def any(self, tests: list, r: Relation) -> Column:
         out = self.condition(tests[0], r)
         for t in tests[1:]:
@@ -183,7 +260,8 @@ class Planner:
         attributes = left.attributes + right.attributes
         span = spans.pop() if len(spans) == 1 else "point" if "point" in spans else "from" if spans == {"always", "from"} else "some"
         low, high = F.greatest("_vfrom", "_rfrom").alias("_vfrom"), F.least("_vto", "_rto").alias("_vto")
-        return Relation(both.select(low, high, *(f"`{t}.{n}`" for t, n in attributes)), attributes, span)
+        rest = [f"`{c}`" for c in left.rows.columns + right.rows.columns if c not in ("_vfrom", "_vto")]
+        return Relation(both.select(low, high, *rest), attributes, span, left.counts + right.counts, left.begun | right.begun)
 
     def preferred(self, whole: Relation, q: ast.Select) -> Relation:
         names = [a for _, a in whole.attributes]
@@ -203,8 +281,8 @@ class Planner:
         out = compare(c.op, a, b)
         return ~out if c.negated else out
 
-    def expression(self, e, r: Relation) -> tuple[Column, str]:
-        """The column and its type."""
+    def expression(self, e, r: Relation, sure: bool = False) -> tuple[Column, str]:
+        """The column and its type. sure: null where working it out could fail."""
         if isinstance(e, ast.Value):
             kind = "STRING" if isinstance(e.value, str) else "INTEGER" if isinstance(e.value, int) else "FLOAT"
             return (F.lit(e.value).cast("bigint") if kind == "INTEGER" else F.lit(e.value)), kind
@@ -216,13 +294,18 @@ class Planner:
             if kind is None:
                 raise LanguageError(f"{name} has a type that the language lacks: {dict(r.rows.dtypes)[name]}")
             return F.col(f"`{name}`"), kind
-        (a, ta), (b, tb) = self.expression(e.left, r), self.expression(e.right, r)
+        (a, ta), (b, tb) = self.expression(e.left, r, sure), self.expression(e.right, r, sure)
         if ta != tb:
             raise LanguageError(f"{ta} {e.op} {tb}: both sides must be of one type")
         if ta == "STRING":
             if e.op != "+":
                 raise LanguageError(f"no {e.op} for strings")
             return F.concat(a, b), ta
+        if sure and e.op == "/":
+            small = a.between(-(2**62), 2**62) & b.between(-(2**62), 2**62)
+            return (F.when(small & (b != 0), floor_div(a, b)) if ta == "INTEGER" else F.try_divide(a, b)), ta
+        if sure:
+            return {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[e.op](a, b), ta
         if e.op == "/":
             return (floor_div(a, b) if ta == "INTEGER" else a / b), ta
         return {"+": a + b, "-": a - b, "*": a * b}[e.op], ta
@@ -284,6 +367,8 @@ class Planner:
         return got.groupBy("_TS", *names).agg(*(c.alias(n) for n, c in again.items())).select(*out)
 
     def aggregate(self, a: ast.Aggregate, r: Relation) -> Column:
+        if r.counts:
+            return self.finished(a, r)
         if a.function == "COUNT":
             if a.of is not None:
                 self.expression(a.of, r)
@@ -293,6 +378,22 @@ class Planner:
             raise LanguageError("no SUM of strings")
         return {"MIN": F.min, "MAX": F.max, "SUM": F.sum}[a.function](of)
 
+    def finished(self, a: ast.Aggregate, r: Relation) -> Column:
+        """An aggregate over condensed sources."""
+        times = lambda names: reduce(mul, (F.col(n) for n in names))
+        if a.function == "COUNT":
+            return F.sum(times(r.counts))
+        b = r.begun.get(a)
+        of, kind = self.expression(a.of, r) if b is None or b.unsure else (None, b.kind)
+        if a.function != "SUM":
+            value = of if b is None else F.when(F.col(b.unsure), of).otherwise(F.col(b.column)) if b.unsure else F.col(b.column)
+            return {"MIN": F.min, "MAX": F.max}[a.function](value)
+        value = None if of is None else exact(of, kind) * times(r.counts)
+        if b is not None:
+            part = F.col(b.column) * times([n for n in r.counts if n != b.count])
+            value = F.when(F.col(b.unsure), value).otherwise(part) if b.unsure else part
+        return F.sum(value).cast("bigint" if kind == "INTEGER" else "double")
+
     # -- sequences ---------------------------------------------------------------------------
     def sequence_table(self, q: ast.Sequences) -> tuple[DataFrame, list[str], list[str]]:
         """Sequences before the preferences, the identifier and all attributes."""

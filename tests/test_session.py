@@ -193,3 +193,65 @@ def test_nested_groups_of_a_join(timeline):
     got = sorted(tuple(x) for x in s.query("SELECT p.k, COUNT(*) AS n FROM s[UNBOUNDED] AS p, r AS q, t AS u WHERE p.k = q.k AND u.k = q.k GROUP BY p.k;").collect())
     want = Counter((i, a[0]) for i in range(s.last + 1) for a in held["su"][i] for b in held["r"][i] for c in held["t"][i] if a[0] == b[0] == c[0])
     assert got == sorted((*k, n) for k, n in want.items())
+
+
+AGGREGATES = "COUNT(*) AS n, SUM(p.v) AS s, MIN(q.v * 2 + 1) AS a, MAX(p.v - q.v) AS b, SUM(p.v * q.v) AS c, SUM(q.v - 1) AS d, COUNT(q.k) AS e"
+
+
+@pytest.mark.parametrize("left, right", [("t", "s[RANGE 3 SECOND]"), ("s[RANGE 3 SECOND]", "s[RANGE 5 SECOND, SLIDE 4 SECOND]"), ("s[UNBOUNDED]", "r"), ("t", "s[UNBOUNDED]"), ("vw", "s[RANGE 3 SECOND]"), ("vw", "vw"), ("r", "r")])
+def test_groups_of_joins_by_instant(timeline, left, right):
+    s, held = timeline
+    cases = [(text, lambda i, p, q, test=test: test(p, q)) for text, test in JOINS]
+    cases += [("p, q WHERE p.k = q.k AND q.v > 1 AND p._TS > 40", lambda i, p, q: p[0] == q[0] and q[1] > 1 and i > 40), ("p, q WHERE p.v = 1 OR p.k = 0", lambda i, p, q: p[1] == 1 or p[0] == 0)]
+    for text, test in cases:
+        got = sorted(tuple(x) for x in s.query(f"SELECT p.k, {AGGREGATES} FROM {text.replace('p, q', f'{left} AS p, {right} AS q', 1)} GROUP BY p.k;").collect())
+        met = {}
+        for i in range(s.last + 1):
+            for p in held[SIDES[left]][i]:
+                for q in held[SIDES[right]][i]:
+                    if test(i, p, q):
+                        met.setdefault((i, p[0]), []).append((p[1], q[1]))
+        want = [(*k, len(m), sum(p for p, _ in m), min(q * 2 + 1 for _, q in m), max(p - q for p, q in m), sum(p * q for p, q in m), sum(q - 1 for _, q in m), len(m)) for k, m in met.items()]
+        assert got == sorted(want), text
+
+
+def joined_rows(df):
+    """The most rows that a join of the plan that was run put out."""
+
+    def joins(p):
+        name = p.nodeName()
+        inner = [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if name.endswith("QueryStage") else [p.children().apply(i) for i in range(p.children().size())]
+        found = [p.metrics().get("numOutputRows").get().value()] if "Join" in name or name == "CartesianProduct" else []
+        return found + [n for i in inner for n in joins(i)]
+
+    return max(joins(df._jdf.queryExecution().executedPlan()))
+
+
+def test_groups_of_a_join_make_no_pairs(spark):
+    s = Session(spark, 0)
+    s.register_relation("a", spark.range(1500).selectExpr("id % 2 AS k", "id AS v"), ["k", "v"])
+    s.register_relation("b", spark.range(1000).selectExpr("id % 2 AS k", "id AS w"), ["k", "w"])
+    s.register_relation("c", spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "k int, n string"), ["k", "n"])
+    df = s.query("SELECT c.n, MIN(a.v + 1) AS m, SUM(b.w) AS s, COUNT(b.w) AS z FROM a, c, b WHERE a.k = c.k AND b.k = c.k AND a.v > 9 GROUP BY c.n;")
+    assert rows(df) == [(0, "x", 11, 745 * 249500, 745 * 500), (0, "y", 12, 745 * 250000, 745 * 500)]
+    assert joined_rows(df) <= 4
+
+
+def test_groups_of_a_join_on_odd_values(spark):
+    s, big = Session(spark, 0), 2**63 - 1
+    s.register_relation("a", spark.createDataFrame([(1, 5, 2, 0.5), (1, None, 0, None), (2, big, 1, 1.5), (2, big, 2, 2.5), (3, 7, 0, 3.5), (None, 1, 1, 1.0)], "k int, v long, d long, f double"), ["k", "v", "d", "f"])
+    s.register_relation("b", spark.createDataFrame([(1, "u"), (1, "u"), (1, None), (4, "w")], "k int, n string"), ["k", "n"])
+    s.register_relation("none", spark.createDataFrame([], "x int"), ["x"])
+    # of a only k = 1 meets anything: too large values and divisions by zero of the rest are not worked out
+    text = "SELECT b.n, MIN(a.v + 1) AS a, SUM(a.v) AS b, MAX(a.v / a.d) AS c, SUM(a.f / a.f) AS d, SUM(a.v * 3) AS e, COUNT(a.v) AS f, MIN(b.n + '!') AS g FROM a, b WHERE a.k = b.k{} GROUP BY b.n;"
+    got = {r[1]: tuple(r[2:]) for r in s.query(text.format(" AND a.d > 0")).collect()}
+    assert got == {"u": (6, 10, 2, 2.0, 30, 2, "u!"), None: (6, 5, 2, 1.0, 15, 1, None)}
+    with pytest.raises(Exception, match="BY_ZERO"):  # here 1 / 0 meets a tuple
+        s.query("SELECT b.n, MAX(1 / a.d) AS c FROM a, b WHERE a.k = b.k GROUP BY b.n;").collect()
+    with pytest.raises(Exception, match="OVERFLOW"):
+        s.query("SELECT a.k, MAX(a.v + 1) AS c FROM a, b WHERE a.k = 2 GROUP BY a.k;").collect()
+    assert rows(s.query("SELECT a.k, COUNT(*) AS n FROM a, none AS o WHERE a.k > 0 GROUP BY a.k;")) == []
+    assert rows(s.query("SELECT a.k, COUNT(*) AS n, SUM(3) AS t FROM a, b WHERE a.k > 0 GROUP BY a.k;")) == [(0, 1, 8, 24), (0, 2, 8, 24), (0, 3, 4, 12)]
+    for bad in ("SELECT a.k, SUM(b.n) AS x", "SELECT a.k, COUNT(b.n - b.n) AS x", "SELECT b.n, MIN(a.k) AS x", "SELECT a.k, MIN(k) AS x", "SELECT a.k, MIN(a.v + 1) AS x, MIN(a.v + 1.0) AS y"):
+        with pytest.raises(LanguageError):
+            s.query(f"{bad} FROM a, b WHERE a.k = b.k GROUP BY a.k;")
